@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, packing, sharding
+from pyspark.sql import functions as F
+
+from . import bitplane, chat, licenses, packing, quality, sharding
 from .common import table
 from .tokens import vocabulary
 
@@ -24,8 +26,23 @@ def op7_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.token_files(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.collapse(table(spark, sf_dir, "conversations"))
+    return out.withColumn("rendered_sha256", F.sha2("rendered", 256))
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    found = F.transform("detections", lambda x: F.concat_ws(":", x.label, x.start, x.end))
+    return out.withColumn("detections", F.array_join(found, ","))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_ring_shards, op7_plane_files)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_ring_shards, op6_host_rules, op7_plane_files, op8_snapshot_collapse, op10_license_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
