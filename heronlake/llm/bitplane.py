@@ -165,8 +165,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, planes: s
                 fs.create_dir(top, recursive=True)
                 raw = fs.open_output_stream(tmp := f"{top}/_part-{task.partitionId():06d}-{task.taskAttemptId()}")
                 out = Writer(raw, planes)
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out.add(d, code.encode(t) + end)
+            for d, ids in zip(b.column(0).to_pylist(), code.encode_many(b.column(1)), strict=True):
+                out.add(d, ids + end)
         if out:
             out.close()
             raw.close()

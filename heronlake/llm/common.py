@@ -116,7 +116,7 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     if not _POWERS or len(_POWERS["up"]) < n:
         n = max(n, 1 << 16)
@@ -156,7 +156,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     lasts = firsts[1:] - 1
     end_flag[lasts] = is_word[lasts]
     end = np.flatnonzero(end_flag) + 1
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(b * up[:n], out=total[1:])

@@ -31,8 +31,8 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int, end_id: int = 1, with_
         code, end = encoder(tokenizer), struct.pack("<I", end_id)
         for b in batches:
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = code.encode(t) + end
+            for d, ids in zip(b.column(0).to_pylist(), code.encode_many(b.column(1)), strict=True):
+                ids += end
                 if len(ids) <= 4 * longest:
                     rows.append((d, 0, 0, len(ids) // 4, zlib.crc32(ids), ids))
                 else:
