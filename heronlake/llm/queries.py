@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bitplane, chat, decontam, licenses, packing, quality, sharding
+from . import bitplane, chat, decontam, lang_id, licenses, ngram_join, packing, quality, sharding
 from .common import table
 from .tokens import vocabulary
 
 
+def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, 20)
     return out.drop("items", "spans")
@@ -40,6 +44,10 @@ def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rendered_sha256", F.sha2("rendered", 256))
 
 
+def op9_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"), 5, 75)
+
+
 def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents"))
     found = F.transform("detections", lambda x: F.concat_ws(":", x.label, x.start, x.end))
@@ -47,7 +55,13 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_positional_index, op4_best_fit_packing, op5_ring_shards, op6_host_rules, op7_plane_files, op8_snapshot_collapse, op10_license_rules)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_byte_network, op2_positional_index, op4_best_fit_packing, op5_ring_shards, op6_host_rules,
+            op7_plane_files, op8_snapshot_collapse, op9_prefix_tree_join, op10_license_rules,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
