@@ -162,3 +162,15 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     np.cumsum(b * up[:n], out=total[1:])
     h = mixed((total[end] - total[begin]) * down[begin])
     return h, np.searchsorted(begin, offsets).astype(np.int64)
+
+
+#: Ids that are broadcast at most: 16 MB or so.
+FEW_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs less those whose key is in ids (a column of that name): by broadcast up to FEW_IDS, beyond that by a shuffle. Null keys stay."""
+    gone = cut(ids.select(F.col(key).alias("_gone")).where("_gone is not null").distinct())
+    if gone.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")

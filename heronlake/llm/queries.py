@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bitplane, chat, decontam, lang_id, licenses, ngram_join, packing, quality, sharding
+from . import bitplane, chat, decontam, lang_id, licenses, ngram_join, packing, pii, quality, sharding
 from .common import table
 from .tokens import vocabulary
 
@@ -22,6 +22,10 @@ def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("items", "spans")
 
 
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), vocabulary(), 4096)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -58,7 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_byte_network, op2_positional_index, op4_best_fit_packing, op5_ring_shards, op6_host_rules,
+            op1_byte_network, op2_positional_index, op3_disclosure, op4_best_fit_packing, op5_ring_shards, op6_host_rules,
             op7_plane_files, op8_snapshot_collapse, op9_prefix_tree_join, op10_license_rules,
         )
     }
