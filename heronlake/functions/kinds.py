@@ -16,6 +16,11 @@ from pyspark.sql import types as T
 NUMBERS = ("int", "float")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once. An expression that only stands within a lambda would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kind_of_type(t: T.DataType) -> str:
     if isinstance(t, T.BooleanType):
         return "bool"

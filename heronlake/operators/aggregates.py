@@ -66,21 +66,27 @@ def approx_distinct(df: DataFrame, field: str, precision: int = 14) -> DataFrame
     return df.agg(F.coalesce(hll(tagged, precision), F.lit(0).cast("long")).alias("approx_distinct"))
 
 
-def _grouped(df: DataFrame, group: str, *aggs: Column, gate: Column | None = None) -> DataFrame:
-    rows = df.withColumn("group", _group(df, group)).where("group is not null")
-    return (rows if gate is None else rows.where(gate)).groupBy("group").agg(*aggs).orderBy("group")
+def _grouped(df: DataFrame, group: str, number: Column | None) -> DataFrame:
+    """group, n, total. Rows are first summed by the plain value, so that its key is spelled once for each value and not for each row."""
+    at, kind = resolve(df, group)
+    if at is None:
+        return df.sparkSession.createDataFrame([], "group string, n long, total double")
+    rows = df.select(at.alias("_v"), (F.lit(0.0) if number is None else number).alias("_x")).where("_x is not null")
+    if kind_of_type(kind) in ("variant", "map", "array"):
+        sums = rows.select(group_key(F.col("_v"), kind).alias("group"), F.lit(1).alias("n"), F.col("_x").alias("total"))
+    else:
+        sums = rows.groupBy("_v").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("total")).select(group_key(F.col("_v"), kind).alias("group"), "n", "total")
+    return sums.where("group is not null").groupBy("group").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).orderBy("group")
 
 
 def group_count(df: DataFrame, group: str) -> DataFrame:
-    return _grouped(df, group, F.count(F.lit(1)).alias("count"))
+    return _grouped(df, group, None).select("group", F.col("n").alias("count"))
 
 
 def group_sum(df: DataFrame, group: str, field: str) -> DataFrame:
     """Groups need a key and a number in a row."""
-    x = _number(df, field)
-    return _grouped(df, group, F.sum(x).alias("sum"), gate=x.isNotNull())
+    return _grouped(df, group, _number(df, field)).select("group", F.col("total").alias("sum"))
 
 
 def group_avg(df: DataFrame, group: str, field: str) -> DataFrame:
-    x = _number(df, field)
-    return _grouped(df, group, F.avg(x).alias("avg"), gate=x.isNotNull())
+    return _grouped(df, group, _number(df, field)).select("group", (F.col("total") / F.col("n")).alias("avg"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import resolve, text_of
+from ..functions.kinds import let, resolve, text_of
 from ..functions.text import Analyzer, Bm25
 
 
@@ -23,14 +23,16 @@ def _corpus(df: DataFrame, field: str, analyzer: Analyzer) -> DataFrame | None:
     return df.where(text.isNotNull()).withColumn("_tok", analyzer.analyze(text))
 
 
-def _counted(docs: DataFrame, terms: list[str], extra: list[Column]) -> DataFrame:
-    """docs with _len, _tf (one count for each term) and extra columns, and the corpus's _n, _avg and _df beside each row.
+def _counted(docs: DataFrame, terms: list[str], hit=None) -> DataFrame:
+    """docs with _len, _tf (one count for each term) and _hit (of the tokens), and the corpus's _n, _avg and _df beside each row.
 
     One row of statistics is joined by a constant, so it is the only thing that is broadcast.
     """
-    count = lambda t: F.size(F.filter("_tok", lambda x: x == t))
-    tf = F.array(*[count(t) for t in terms])
-    rows = docs.withColumn("_len", F.size("_tok")).withColumn("_tf", tf).select("*", *extra).drop("_tok")
+    def counts(tok: Column) -> Column:
+        count = lambda t: F.size(F.filter(tok, lambda x: x == t))
+        return F.struct(F.size(tok).alias("len"), F.array(*[count(t) for t in terms]).alias("tf"), (F.lit(True) if hit is None else hit(tok)).alias("hit"))
+
+    rows = docs.withColumn("_c", let(F.col("_tok"), counts)).withColumns({"_len": F.col("_c.len"), "_tf": F.col("_c.tf"), "_hit": F.col("_c.hit")}).drop("_tok", "_c")
     df = [F.count(F.when(F.get("_tf", F.lit(i)) > 0, 1)).cast("double") for i in range(len(terms))]
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_avg"), F.array(*df).alias("_df"))
     one = F.lit(1)
@@ -55,7 +57,7 @@ def search(df: DataFrame, field: str, query: str, k: int | None, analyzer: Analy
     terms = list(dict.fromkeys(terms_of(df.sparkSession, analyzer, query)))
     if docs is None or not terms:
         return df.withColumn("score", F.lit(0.0)).limit(0)
-    found = _counted(docs, terms, []).withColumn("score", _score(terms, params)).where("score > 0").drop(*_OWN)
+    found = _counted(docs, terms).withColumn("score", _score(terms, params)).where("score > 0").drop(*_OWN)
     found = found.orderBy(F.desc("score"), "key")
     return found if k is None else found.limit(k)
 
@@ -68,8 +70,11 @@ def phrase(df: DataFrame, field: str, query: str, k: int | None, analyzer: Analy
     if docs is None or not terms:
         return df.withColumn("score", F.lit(0.0)).limit(0)
     n = len(terms)
-    hit = F.exists(F.sequence(F.lit(1), F.greatest(F.size("_tok") - n + 1, F.lit(1))), lambda i: F.slice("_tok", i, F.lit(n)) == F.lit(terms))
-    found = _counted(docs, terms, [hit.alias("_hit")]).where("_hit").withColumn("score", _score(terms, params)).drop(*_OWN)
+
+    def hit(tok: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.greatest(F.size(tok) - n + 1, F.lit(1))), lambda i: F.slice(tok, i, F.lit(n)) == F.lit(terms))
+
+    found = _counted(docs, terms, hit).where("_hit").withColumn("score", _score(terms, params)).drop(*_OWN)
     found = found.orderBy(F.desc("score"), "key")
     return found if k is None else found.limit(k)
 
