@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, scratch, ship
+from .common import frugal, parts, scratch, ship, slices
 from .tokens import encoder
 
 MAGIC, FOOT = b"HLPLANE1", struct.Struct("<QQ8s")
@@ -160,7 +160,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, planes: s
         fs, top = pafs.FileSystem.from_uri(path)
         task = TaskContext.get()
         name = f"{top}/part-{task.partitionId():06d}.hlp"
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows and out is None:
                 fs.create_dir(top, recursive=True)
                 raw = fs.open_output_stream(tmp := f"{top}/_part-{task.partitionId():06d}-{task.taskAttemptId()}")
@@ -189,6 +189,7 @@ def read(spark: SparkSession, path: str, manifest: list[dict], with_ids: bool =
         return spark.createDataFrame([], kind)
 
     def out(batches):
+        frugal()
         fs, top = pafs.FileSystem.from_uri(path)
         for b in batches:
             for name, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

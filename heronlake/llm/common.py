@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 import tempfile
@@ -85,6 +87,26 @@ def ascii_lower(text):
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def frugal() -> None:
+    """Gives freed memory back: Python workers live on from task to task, and would keep the most that any of them needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batches, column: int = 1, most: int = 4 << 20):
+    """Record batches cut to so many bytes of a text column, or one row."""
+    frugal()
+    for b in batches:
+        _, offsets = buffers(b.column(column))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
+        frugal()
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and offsets, without a copy; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,7 +133,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that are hashed at once, some 24 bytes of memory for each.
-STEP = 8 << 20
+STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -137,13 +159,27 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     if n > 3 * STEP // 2:  # in steps that end between words
-        space = np.flatnonzero(table[raw[STEP : 2 * STEP]] == 32)
-        to = STEP + (int(space[0]) if len(space) else np.argmax(np.append(table[raw[STEP:]] == 32, True)))
-        if to < n:
-            k = int(np.searchsorted(offsets, to, "right"))
-            h1, s1 = word_hashes(raw[:to], np.append(offsets[:k], to), table)
-            h2, s2 = word_hashes(raw[to:], np.append(0, offsets[k:] - to), table)
-            return np.concatenate([h1, h2]), np.concatenate([s1[:k], s2[1:] + len(h1)])
+        found, firsts, at, k, words = [], np.empty(len(offsets), np.int64), 0, 0, 0
+        while at < n:
+            to = at + STEP
+            while to < n:
+                space = np.flatnonzero(table[raw[to : to + STEP]] == 32)
+                to += int(space[0]) if len(space) else STEP
+                if len(space):
+                    break
+            to = min(to, n)
+            j = len(offsets) if to == n else int(np.searchsorted(offsets, to, "right"))
+            own = np.concatenate([[0], offsets[k:j] - at, [to - at]])
+            h, starts = word_hashes_of(raw[at:to], own, table)
+            firsts[k:j] = starts[1:-1] + words
+            found.append(h)
+            at, k, words = to, j, words + len(h)
+        return np.concatenate(found), firsts
+    return word_hashes_of(raw, offsets, table)
+
+
+def word_hashes_of(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw)
     b = table[raw]
     is_word = b != 32
     start = is_word.copy()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, buffers, scratch, ship, word_hashes
+from .common import WORD_BYTES, buffers, frugal, scratch, ship, slices, word_hashes
 
 #: Text bytes of a segment; a longer document is a segment of its own.
 SEGMENT = 4 << 20
@@ -49,7 +49,8 @@ def build(docs: DataFrame, path: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def segments(batches):
-        for b in batches:
+        frugal()
+        for b in slices(batches, 1, SEGMENT):
             raw, offsets = buffers(b.column(1))
             ids, i, n = b.column(0).to_pylist(), 0, b.num_rows
             while i < n:
@@ -179,6 +180,7 @@ def search(index: DataFrame, items: list[tuple[str, str]], size: int = 13, width
         return [{"start": s, "end": e} for s, e in out]
 
     def matches(batches):
+        frugal()
         for b in batches:
             for r in range(b.num_rows):
                 ids, starts, *rest = (c[r] for c in b.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, ship
+from .common import buffers, ship, slices
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 #: Labelled documents of each language that the network is fitted on, about; characters taken of each, from anywhere in it. Passes over them.
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) ->
     def run(batches):
         if net:
             net.ready()
-        for b in batches:
+        for b in slices(batches):
             raw, offsets = buffers(b.column(1))
             n = b.num_rows
             lang, score = [UNDETERMINED] * n, np.zeros(n)

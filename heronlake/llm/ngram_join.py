@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, buffers, cut, mixed, parts, scratch, ship, word_hashes
+from .common import SPACE_BYTES, buffers, cut, frugal, mixed, parts, scratch, ship, slices, word_hashes
 from .graph import components
 
 #: Texts and text bytes of a chunk; the number of texts must fit 12 bits.
@@ -75,8 +75,9 @@ def _deal(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """A row for each chunk and share with its n-grams (rest of the fingerprint, text), and one, share -1 - chunk's, with the texts' ids and counts."""
 
     def run(batches):
+        frugal()
         first, k = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
+        for b in slices(batches, 1, CHUNK_BYTES):
             raw, offsets = buffers(b.column(1))
             ids, none = np.array(b.column(0).fill_null(0)), np.array(b.column(0).is_null())
             i, n = 0, b.num_rows
@@ -117,6 +118,7 @@ def _count(dealt: DataFrame) -> DataFrame:
     """By share: n-grams of two texts or more, back to their chunks: fingerprint's rest, texts with it (65,535 at most), text."""
 
     def run(batches):
+        frugal()
         for share, rows in _grouped(batches, 0):
             if share < 0:
                 yield _packed(*map(list, zip(*rows, strict=True)))
@@ -159,6 +161,7 @@ def _sets(counted: DataFrame, percent: int) -> DataFrame:
     import hashlib
 
     def run(batches):
+        frugal()
         for _, rows in _grouped(batches, 1):
             head = next(r[2] for r in rows if r[0] < 0)
             n = len(head) // 17
@@ -213,6 +216,7 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """u, v: links between classes that share an n-gram within their prefixes, a spanning forest for each share of the n-grams."""
 
     def deal(batches):
+        frugal()
         for b in batches:
             gram, owner = [], []
             for c, n, shared, grams in zip(*(x.to_pylist() for x in b.columns), strict=True):
@@ -231,6 +235,7 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
             yield _packed(*map(list, zip(*rows, strict=True)))
 
     def link(batches):
+        frugal()
         for _, rows in _grouped(batches, 0):
             gram = np.concatenate([np.frombuffer(r[2], "<u8", len(r[2]) // 16) for r in rows])
             owner = np.concatenate([np.frombuffer(r[2], "<i8", len(r[2]) // 16, len(r[2]) // 2) for r in rows])
@@ -360,6 +365,7 @@ def _blocks(sets: DataFrame, percent: int) -> DataFrame:
     """class_id, label: rows of each block (block, comp, class_id, n, grams, label) joined by trie."""
 
     def run(batches):
+        frugal()
         for _, rows in _grouped(batches, 0):
             by: dict[int, list] = {}
             for r in rows:

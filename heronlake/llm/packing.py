@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, ship, slices
 from .tokens import encoder
 
 #: A group of (length, salt) has about so many pieces at most; fewer on small inputs, so that groups spread.
@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int, end_id: int = 1, with_
 
     def cut_up(batches):
         code, end = encoder(tokenizer), struct.pack("<I", end_id)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for d, ids in zip(b.column(0).to_pylist(), code.encode_many(b.column(1)), strict=True):
                 ids += end
