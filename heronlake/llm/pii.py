@@ -103,8 +103,8 @@ def _few(df: DataFrame, most: int = SMALL) -> DataFrame:
 def spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """_row, doc_id, kind, start, end for every base span and every revealing term (kind ``term``); null kind and places where a document has none.
 
-    The term's side of the statistics counts all documents: their distinct words meet the terms that have the support, in a
-    broadcast join where these are SMALL at most. Equal documents count each for itself; no rows give no rows.
+    The term's side of the statistics counts all documents: their distinct words are counted, in part before
+    the shuffle, and then meet the terms that have the support. Equal documents count each for itself; no rows give no rows.
     """
     found = cut(mentions(docs))
     n = docs.select(F.lit(1)).count()
@@ -113,8 +113,8 @@ def spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSUR
     pairs = cut(pairs)
     terms = cut(pairs.select("term").distinct())
     words = F.array_distinct(F.split(F.lower("text"), NOT_TERM))
-    seen = docs.select(F.explode(words).alias("word")).join(_few(terms), F.col("word") == F.col("term"), "left_semi")
-    of_term = seen.groupBy(F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("of_term"))
+    seen = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    of_term = seen.join(_few(terms), "term")  # an inner join stays above the counting; a semi-join would be pushed below it
     of_entity = found.where("kind is not null").select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     scored = pairs.join(of_term, "term").join(of_entity, "entity")
     content = F.log2(F.lit(float(max(n, 1))) / F.col("of_entity"))
