@@ -23,7 +23,9 @@ from .common import SPACE_BYTES, buffers, cut, frugal, mixed, parts, scratch, sh
 from .graph import components
 
 #: Texts and text bytes of a chunk; the number of texts must fit 12 bits.
-CHUNK, CHUNK_BYTES = 4096, 4 << 20
+CHUNK, CHUNK_BYTES = 4095, 4 << 20
+#: Stands for a text where an n-gram has several in its chunk.
+SEVERAL = 65535
 #: Shares of the fingerprints for each partition of the input (rounded to a power of two), and for candidate links.
 SHARES, LINK_SHARES = 8, 32
 #: N-grams of a component that are joined in one task; larger components are joined by pairs of blocks.
@@ -72,7 +74,8 @@ _PACKED = "share int, chunk long, payload binary"
 
 
 def _deal(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """A row for each chunk and share with its n-grams (rest of the fingerprint, text), and one, share -1 - chunk's, with the texts' ids and counts."""
+    """A row for each chunk and share with its n-grams (rest of the fingerprint, text or SEVERAL, their numbers), and one of a negative share
+    with the texts' ids and counts, and the n-grams that several of them have. So a share gets an n-gram once for each chunk, however many texts hold it."""
 
     def run(batches):
         frugal()
@@ -84,14 +87,23 @@ def _deal(docs: DataFrame, size: int, bits: int) -> DataFrame:
             while i < n:
                 j = min(i + CHUNK, max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1))
                 key, count = ngram_keys(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-                share = ((key >> np.uint64(52 - bits)) & np.uint64((1 << bits) - 1)).astype(np.uint16 if bits <= 16 else np.uint32)
-                order = np.argsort(share, kind="stable")
-                rest = ((key >> np.uint64(52 - bits - 32)) & np.uint64(0xFFFFFFFF)).astype("<u4")[order]
-                text = (key >> np.uint64(52)).astype("<u2")[order]
-                share = share[order]
+                # By fingerprint, then text: those of several texts here go to their share once, with their number.
+                both = ((key & np.uint64((1 << 52) - 1)) << np.uint64(12)) | (key >> np.uint64(52))
+                both.sort()
+                print_, text = both >> np.uint64(12), (both & np.uint64(4095)).astype("<u2")
+                gram = ((print_ >> np.uint64(52 - bits)) << np.uint64(32)) | ((print_ >> np.uint64(20 - bits)) & np.uint64(0xFFFFFFFF))
+                at = np.flatnonzero(np.concatenate([[True], print_[1:] != print_[:-1]])) if len(both) else np.zeros(0, int)
+                run_ = np.diff(np.append(at, len(both)))
+                here = np.repeat(run_ > 1, run_)
+                one = np.where(run_ > 1, SEVERAL, text[at]).astype("<u2")
+                share, rest = (gram[at] >> np.uint64(32)).astype(np.int64), (gram[at] & np.uint64(0xFFFFFFFF)).astype("<u4")
                 cuts = np.concatenate([[0], np.flatnonzero(share[1:] != share[:-1]) + 1, [len(share)]]) if len(share) else np.zeros(1, int)
-                rows = [(int(share[x]), first + k, rest[x:y].tobytes() + text[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                head = ids[i:j].astype("<i8").tobytes() + count.astype("<i8").tobytes() + none[i:j].astype(np.uint8).tobytes()
+                rows = []
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    many = run_[x:y][one[x:y] == SEVERAL].astype("<u4")
+                    rows.append((int(share[x]), first + k, np.array([y - x], "<u4").tobytes() + rest[x:y].tobytes() + one[x:y].tobytes() + many.tobytes()))
+                head = np.array([j - i], "<u4").tobytes() + ids[i:j].astype("<i8").tobytes() + count.astype("<i8").tobytes() + none[i:j].astype(np.uint8).tobytes()
+                head += gram[here].astype("<u8").tobytes() + text[here].tobytes()
                 rows.append((-1 - k % (1 << bits), first + k, head))
                 for x in range(0, len(rows), 512):
                     yield _packed(*map(list, zip(*rows[x : x + 512], strict=True)))
@@ -115,7 +127,7 @@ def _grouped(batches, column: int):
 
 
 def _count(dealt: DataFrame) -> DataFrame:
-    """By share: n-grams of two texts or more, back to their chunks: fingerprint's rest, texts with it (65,535 at most), text."""
+    """By share: n-grams of two texts or more, back to their chunks: fingerprint's rest, texts with it (65,535 at most), text or SEVERAL."""
 
     def run(batches):
         frugal()
@@ -123,16 +135,18 @@ def _count(dealt: DataFrame) -> DataFrame:
             if share < 0:
                 yield _packed(*map(list, zip(*rows, strict=True)))
                 continue
-            sizes = np.array([len(r[2]) // 6 for r in rows])
-            rest = np.concatenate([np.frombuffer(r[2], "<u4", n) for r, n in zip(rows, sizes.tolist(), strict=True)])
-            text = np.concatenate([np.frombuffer(r[2], "<u2", n, 4 * n) for r, n in zip(rows, sizes.tolist(), strict=True)])
+            sizes = np.array([int(np.frombuffer(r[2], "<u4", 1)[0]) for r in rows])
+            rest = np.concatenate([np.frombuffer(r[2], "<u4", n, 4) for r, n in zip(rows, sizes.tolist(), strict=True)])
+            text = np.concatenate([np.frombuffer(r[2], "<u2", n, 4 + 4 * n) for r, n in zip(rows, sizes.tolist(), strict=True)])
+            many = np.concatenate([np.frombuffer(r[2], "<u4", -1, 4 + 6 * n) if len(r[2]) > 4 + 6 * n else np.zeros(0, "<u4") for r, n in zip(rows, sizes.tolist(), strict=True)])
+            weight = np.ones(len(rest), np.int64)
+            weight[text == SEVERAL] = many
             row = np.repeat(np.arange(len(rows)), sizes)
             key = (rest.astype(np.uint64) << np.uint64(32)) | np.arange(len(rest), dtype=np.uint64)
             key.sort()
             rest_sorted = (key >> np.uint64(32)).astype(np.uint32)
             new = np.concatenate([[True], rest_sorted[1:] != rest_sorted[:-1]])
-            run_of = np.cumsum(new) - 1
-            texts = np.bincount(run_of)[run_of]
+            texts = np.add.reduceat(weight[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)], np.flatnonzero(new))[np.cumsum(new) - 1]
             some = np.flatnonzero(texts > 1)
             if not len(some):
                 continue
@@ -164,19 +178,27 @@ def _sets(counted: DataFrame, percent: int) -> DataFrame:
         frugal()
         for _, rows in _grouped(batches, 1):
             head = next(r[2] for r in rows if r[0] < 0)
-            n = len(head) // 17
-            ids, count, none = np.frombuffer(head, "<i8", n), np.frombuffer(head, "<i8", n, 8 * n), np.frombuffer(head, np.uint8, n, 16 * n)
+            n = int(np.frombuffer(head, "<u4", 1)[0])
+            ids, count, none = np.frombuffer(head, "<i8", n, 4), np.frombuffer(head, "<i8", n, 4 + 8 * n), np.frombuffer(head, np.uint8, n, 4 + 16 * n)
+            m = (len(head) - 4 - 17 * n) // 10
+            own_gram, own_text = np.frombuffer(head, "<u8", m, 4 + 17 * n), np.frombuffer(head, "<u2", m, 4 + 17 * n + 8 * m)
             rest, texts, text, share = [], [], [], []
             for r in rows:
                 if r[0] >= 0:
-                    m = len(r[2]) // 8
-                    rest.append(np.frombuffer(r[2], "<u4", m))
-                    texts.append(np.frombuffer(r[2], "<u2", m, 4 * m))
-                    text.append(np.frombuffer(r[2], "<u2", m, 6 * m))
-                    share.append(np.full(m, r[0], np.uint64))
+                    c = len(r[2]) // 8
+                    rest.append(np.frombuffer(r[2], "<u4", c))
+                    texts.append(np.frombuffer(r[2], "<u2", c, 4 * c))
+                    text.append(np.frombuffer(r[2], "<u2", c, 6 * c))
+                    share.append(np.full(c, r[0], np.uint64))
             if rest:
                 gram = (np.concatenate(share) << np.uint64(32)) | np.concatenate(rest)
                 texts, text = np.concatenate(texts), np.concatenate(text)
+                if m:
+                    several = text == SEVERAL
+                    order = np.argsort(gram[several])
+                    known, number = gram[several][order], texts[several][order]
+                    gram, text = np.concatenate([gram[~several], own_gram]), np.concatenate([text[~several], own_text])
+                    texts = np.concatenate([texts[~several], number[np.searchsorted(known, own_gram)]])
                 order = np.lexsort((gram, texts, text))
                 gram, text = gram[order], text[order]
                 shared = np.bincount(text, minlength=n)
@@ -227,23 +249,33 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
             if not gram:
                 continue
             gram, owner = np.concatenate(gram), np.concatenate(owner)
+            # Owners of one n-gram here are linked here; one of them stands for all beyond.
+            order = np.argsort(gram, kind="stable")
+            gram, owner = gram[order], owner[order]
+            same = np.flatnonzero(gram[1:] == gram[:-1])
+            ids, node = np.unique(owner, return_inverse=True)
+            root = roots_of(node[same], node[same + 1], len(ids))
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            rows = [(int(ids[0] % LINK_SHARES), 1, ids[moved].tobytes() + ids[root[moved]].tobytes())] if len(moved) else []
+            once = np.concatenate([[True], gram[1:] != gram[:-1]])
+            gram, owner = gram[once], owner[once]
             share = (mixed(gram) % np.uint64(LINK_SHARES)).astype(np.uint8)
             order = np.argsort(share, kind="stable")
             gram, owner, share = gram[order], owner[order], share[order]
             cuts = np.concatenate([[0], np.flatnonzero(share[1:] != share[:-1]) + 1, [len(share)]])
-            rows = [(int(share[x]), x0, gram[x0:y0].tobytes() + owner[x0:y0].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True) for x0, y0 in [(x, y)]]
+            rows += [(int(share[x]), 0, gram[x:y].tobytes() + owner[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             yield _packed(*map(list, zip(*rows, strict=True)))
 
     def link(batches):
         frugal()
         for _, rows in _grouped(batches, 0):
-            gram = np.concatenate([np.frombuffer(r[2], "<u8", len(r[2]) // 16) for r in rows])
-            owner = np.concatenate([np.frombuffer(r[2], "<i8", len(r[2]) // 16, len(r[2]) // 2) for r in rows])
+            half = lambda kind, flag, second: np.concatenate([np.zeros(0, kind), *[np.frombuffer(r[2], kind, len(r[2]) // 16, second * (len(r[2]) // 2)) for r in rows if r[1] == flag]])
+            gram, owner, u, v = half("<u8", 0, 0), half("<i8", 0, 1), half("<i8", 1, 0), half("<i8", 1, 1)
             order = np.argsort(gram)
             gram, owner = gram[order], owner[order]
-            ids, node = np.unique(owner, return_inverse=True)
-            same = np.flatnonzero(gram[1:] == gram[:-1])
-            root = roots_of(node[same], node[same + 1], len(ids))
+            ids, node = np.unique(np.concatenate([owner, u, v]), return_inverse=True)
+            same, m = np.flatnonzero(gram[1:] == gram[:-1]), len(owner)
+            root = roots_of(np.concatenate([node[same], node[m : m + len(u)]]), np.concatenate([node[same + 1], node[m + len(u) :]]), len(ids))
             moved = np.flatnonzero(root != np.arange(len(ids)))
             for x in range(0, len(moved), 1 << 16):
                 m = moved[x : x + (1 << 16)]
