@@ -41,6 +41,20 @@ def stem(word: Column) -> Column:
     return F.when((F.length(word) <= 3) | word.rlike("[^\\x00-\\x7F]"), word).otherwise(cut)
 
 
+def stem_word(word: str) -> str:
+    """stem() of one word on the driver."""
+    if len(word) <= 3 or not word.isascii():
+        return word
+    if word.endswith("ies") and word[-4] not in "ae":
+        return word[:-3] + "y"
+    return word[:-1] if word[-1] == "s" and word[-2] not in "us" else word
+
+
+def forms(term: str) -> list[str]:
+    """The words whose stem is a term: so a search compares words with these instead of stemming each word of a corpus."""
+    return [w for w in dict.fromkeys([term, term + "s", term[:-1] + "ies"]) if stem_word(w) == term]
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """tokenize, then leave out stop words, then stem."""
@@ -52,11 +66,16 @@ class Analyzer:
     def raw() -> Analyzer:
         return Analyzer(False, False)
 
-    def analyze(self, text: Column) -> Column:
+    def words(self, text: Column) -> Column:
+        """Before stemming."""
         out = tokenize(text)
-        if self.stop:
-            out = F.filter(out, lambda x: ~x.isin(*STOP_WORDS))
-        return F.transform(out, stem) if self.stems else out
+        return F.filter(out, lambda x: ~x.isin(*STOP_WORDS)) if self.stop else out
+
+    def analyze(self, text: Column) -> Column:
+        return F.transform(self.words(text), stem) if self.stems else self.words(text)
+
+    def forms(self, term: str) -> list[str]:
+        return forms(term) if self.stems else [term]
 
 
 @dataclass(frozen=True)

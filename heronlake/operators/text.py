@@ -14,22 +14,22 @@ def terms_of(spark, analyzer: Analyzer, query: str) -> list[str]:
     return spark.range(1).select(analyzer.analyze(F.lit(query))).first()[0]
 
 
-def _corpus(df: DataFrame, field: str, analyzer: Analyzer) -> DataFrame | None:
-    """df's rows whose field is text, with their tokens in _tok. Empty texts count."""
+def _corpus(df: DataFrame, field: str, analyzer: Analyzer, stems: bool = True) -> DataFrame | None:
+    """df's rows whose field is text, with their tokens in _tok, stemmed or not. Empty texts count."""
     at, kind = resolve(df, field)
     if at is None:
         return None
     text = text_of(at, kind)
-    return df.where(text.isNotNull()).withColumn("_tok", analyzer.analyze(text))
+    return df.where(text.isNotNull()).withColumn("_tok", analyzer.analyze(text) if stems else analyzer.words(text))
 
 
-def _counted(docs: DataFrame, terms: list[str], hit=None) -> DataFrame:
-    """docs with _len, _tf (one count for each term) and _hit (of the tokens), and the corpus's _n, _avg and _df beside each row.
+def _counted(docs: DataFrame, terms: list[list[str]], hit=None) -> DataFrame:
+    """docs with _len, _tf (one count for each term, given by its forms) and _hit (of the tokens), and the corpus's _n, _avg and _df beside each row.
 
     One row of statistics is joined by a constant, so it is the only thing that is broadcast.
     """
     def counts(tok: Column) -> Column:
-        count = lambda t: F.size(F.filter(tok, lambda x: x == t))
+        count = lambda t: F.size(F.filter(tok, lambda x: x.isin(*t)))
         return F.struct(F.size(tok).alias("len"), F.array(*[count(t) for t in terms]).alias("tf"), (F.lit(True) if hit is None else hit(tok)).alias("hit"))
 
     rows = docs.withColumn("_c", let(F.col("_tok"), counts)).withColumns({"_len": F.col("_c.len"), "_tf": F.col("_c.tf"), "_hit": F.col("_c.hit")}).drop("_tok", "_c")
@@ -47,17 +47,24 @@ def _score(terms: list[str], params: Bm25) -> Column:
     return total
 
 
+def _all(parts: list[Column]) -> Column:
+    out = F.lit(True)
+    for p in parts:
+        out = out & p
+    return out
+
+
 _OWN = ("_len", "_tf", "_n", "_avg", "_df", "_hit")
 
 
 def search(df: DataFrame, field: str, query: str, k: int | None, analyzer: Analyzer = Analyzer(), params: Bm25 = Bm25()) -> DataFrame:
     """df's k best rows with ``score`` (over 0), ties by key. Statistics are those of df, so what is filtered before doesn't count."""
     params.validate()
-    docs = _corpus(df, field, analyzer)
+    docs = _corpus(df, field, analyzer, False)
     terms = list(dict.fromkeys(terms_of(df.sparkSession, analyzer, query)))
     if docs is None or not terms:
         return df.withColumn("score", F.lit(0.0)).limit(0)
-    found = _counted(docs, terms).withColumn("score", _score(terms, params)).where("score > 0").drop(*_OWN)
+    found = _counted(docs, [analyzer.forms(t) for t in terms]).withColumn("score", _score(terms, params)).where("score > 0").drop(*_OWN)
     found = found.orderBy(F.desc("score"), "key")
     return found if k is None else found.limit(k)
 
@@ -65,16 +72,17 @@ def search(df: DataFrame, field: str, query: str, k: int | None, analyzer: Analy
 def phrase(df: DataFrame, field: str, query: str, k: int | None, analyzer: Analyzer = Analyzer(), params: Bm25 = Bm25()) -> DataFrame:
     """Rows in which the analysed phrase stands word by word, scored by all its terms, repeats included."""
     params.validate()
-    docs = _corpus(df, field, analyzer)
+    docs = _corpus(df, field, analyzer, False)
     terms = terms_of(df.sparkSession, analyzer, query)
     if docs is None or not terms:
         return df.withColumn("score", F.lit(0.0)).limit(0)
-    n = len(terms)
+    spelled = [analyzer.forms(t) for t in terms]
 
     def hit(tok: Column) -> Column:
-        return F.exists(F.sequence(F.lit(1), F.greatest(F.size(tok) - n + 1, F.lit(1))), lambda i: F.slice(tok, i, F.lit(n)) == F.lit(terms))
+        stands = lambda x, i: F.when(x.isin(*spelled[0]), _all([F.coalesce(F.get(tok, i + j).isin(*w), F.lit(False)) for j, w in enumerate(spelled[1:], 1)])).otherwise(False)
+        return F.exists(F.transform(tok, stands), lambda x: x)
 
-    found = _counted(docs, terms, hit).where("_hit").withColumn("score", _score(terms, params)).drop(*_OWN)
+    found = _counted(docs, spelled, hit).where("_hit").withColumn("score", _score(terms, params)).drop(*_OWN)
     found = found.orderBy(F.desc("score"), "key")
     return found if k is None else found.limit(k)
 
