@@ -14,13 +14,19 @@ def terms_of(spark, analyzer: Analyzer, query: str) -> list[str]:
     return spark.range(1).select(analyzer.analyze(F.lit(query))).first()[0]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where there are fewer files than cores, as a small file is one task; large inputs stay as they are."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, df.inputFiles()
+    return df.repartition(cores) if 0 < len(files) < cores else df
+
+
 def _corpus(df: DataFrame, field: str, analyzer: Analyzer, stems: bool = True) -> DataFrame | None:
     """df's rows whose field is text, with their tokens in _tok, stemmed or not. Empty texts count."""
     at, kind = resolve(df, field)
     if at is None:
         return None
     text = text_of(at, kind)
-    return df.where(text.isNotNull()).withColumn("_tok", analyzer.analyze(text) if stems else analyzer.words(text))
+    return spread(df.where(text.isNotNull())).withColumn("_tok", analyzer.analyze(text) if stems else analyzer.words(text))
 
 
 def _counted(docs: DataFrame, terms: list[list[str]], hit=None) -> DataFrame:
