@@ -12,7 +12,7 @@ from .common import buffers, mixed, powers
 #: Words that are encoded in one call; text bytes that are looked up together.
 BLOCK, GROUP = 256, 1 << 20
 #: Words and ids that a process keeps at most; with more it starts anew. Slots of the hash table of words.
-WORDS, POOL, SLOTS = 1_500_000, 12_000_000, 1 << 22
+WORDS, POOL, SLOTS = 1_000_000, 8_000_000, 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ALNUM = np.zeros(256, bool)
