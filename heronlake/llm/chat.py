@@ -21,26 +21,22 @@ def prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Dat
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col("role"), F.col("text"))
     rows = rows.withColumn("part", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / STRETCH).cast("long"))
     inner = Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    whole = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("conv_id")
+    earlier = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
 
-    def per_part(frame: DataFrame, *aggs):
+    def by_part(frame: DataFrame, *aggs) -> DataFrame:
         return frame.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(*aggs)
 
-    def again(w):
-        return Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1) if w is whole else Window.partitionBy("c")
-
     def back(frame: DataFrame, side: DataFrame) -> DataFrame:
         return frame.join(side, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).drop("c", "p")
 
     numbered = rows.withColumn("k", F.row_number().over(inner))
-    sizes = per_part(rows, F.count(F.lit(1)).alias("m"))
-    sizes = sizes.select("c", "p", F.coalesce(F.sum("m").over(again(whole)), F.lit(0)).alias("before"), F.sum("m").over(again(every)).alias("n"))
+    sizes = by_part(rows, F.count(F.lit(1)).alias("m"))
+    sizes = sizes.select("c", "p", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("c")).alias("n"))
     placed = back(numbered, sizes).withColumn("pos", F.col("before") + F.col("k")).drop("before")
     placed = placed.withColumn("x", F.xxhash64("pos", F.lit(1), "role", F.lit(2), "text")).withColumn("y", F.xxhash64(F.lit(7), "text", F.lit(8), "role", "pos"))
     placed = cut(placed)
-    totals = per_part(placed, F.bit_xor("x").alias("tx"), F.bit_xor("y").alias("ty"))
-    totals = totals.select("c", "p", *[F.coalesce(F.bit_xor(t).over(again(whole)), F.lit(0)).alias(f"b{t}") for t in ("tx", "ty")])
+    totals = by_part(placed, F.bit_xor("x").alias("tx"), F.bit_xor("y").alias("ty"))
+    totals = totals.select("c", "p", *[F.coalesce(F.bit_xor(t).over(earlier), F.lit(0)).alias(f"b{t}") for t in ("tx", "ty")])
     run = Window.partitionBy("conv_id", "part").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     rolled = back(placed.withColumn("rx", F.bit_xor("x").over(run)).withColumn("ry", F.bit_xor("y").over(run)), totals)
     return rolled.select("conv_id", "turn", "role", "text", "pos", "n", F.expr("rx ^ btx").alias("a"), F.expr("ry ^ bty").alias("b"))
