@@ -16,54 +16,54 @@ NOT_WORD = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 GATE = ("licen", "copyright", "spdx", "public domain", "copyleft")
 _V = "(?:[ ,;(-]{0,3}(?:version|ver\\.?|v\\.?)?[ -]{0,2}%s(?:\\.0)?(?![0-9.][0-9]))"
 _OR = "(?:[ ,(]{0,2}or[ ](?:\\(at your option\\)[ ]?)?(?:any[ ])?later(?:[ ]version)?\\)?)?"
-#: label, name as written (a regex), SPDX ids, keyword that a text must hold. Names that are part of others have the shorter match.
+#: label, name as written (a regex), SPDX ids, keywords of which a text must hold one. Names that are part of others have the shorter match.
 NAMES = [
     ("mit", "MIT(?:/X11|/Expat)?", "MIT|MIT-0", "mit"),
     ("apache-2.0", "Apache(?: Software)?(?: License)?" + _V % "2", "Apache-2\\.0", "apache"),
     ("apache-1.1", "Apache(?: Software)?(?: License)?" + _V % "1\\.1", "Apache-1\\.1", "apache"),
     ("apache", "Apache(?: Software)?", "Apache-1\\.0", "apache"),
-    ("gpl-2.0", "(?:GNU )?(?:General Public License|GPL)" + _V % "2" + _OR, "GPL-2\\.0(?:-only|-or-later|\\+)?", "g"),
-    ("gpl-3.0", "(?:GNU )?(?:General Public License|GPL)" + _V % "3" + _OR, "GPL-3\\.0(?:-only|-or-later|\\+)?", "g"),
-    ("gpl", "(?:GNU )?(?:General Public|GPL)", "GPL-1\\.0(?:-only|-or-later|\\+)?", "g"),
-    ("lgpl-2.1", "(?:GNU )?(?:Lesser General Public License|LGPL)" + _V % "2\\.1" + _OR, "LGPL-2\\.1(?:-only|-or-later|\\+)?", "l"),
-    ("lgpl-3.0", "(?:GNU )?(?:Lesser General Public License|LGPL)" + _V % "3" + _OR, "LGPL-3\\.0(?:-only|-or-later|\\+)?", "l"),
-    ("lgpl", "(?:GNU )?(?:Lesser General Public|Library General Public|LGPL)", "LGPL-2\\.0(?:-only|-or-later|\\+)?", "l"),
-    ("agpl-3.0", "(?:GNU )?(?:Affero General Public License|AGPL)" + _V % "3" + _OR, "AGPL-3\\.0(?:-only|-or-later|\\+)?", "a"),
-    ("agpl", "(?:GNU )?(?:Affero General Public|AGPL)", "AGPL-1\\.0(?:-only|-or-later)?", "a"),
+    ("gpl-2.0", "(?:GNU )?(?:General Public License|GPL)" + _V % "2" + _OR, "GPL-2\\.0(?:-only|-or-later|\\+)?", "general public|gpl"),
+    ("gpl-3.0", "(?:GNU )?(?:General Public License|GPL)" + _V % "3" + _OR, "GPL-3\\.0(?:-only|-or-later|\\+)?", "general public|gpl"),
+    ("gpl", "(?:GNU )?(?:General Public|GPL)", "GPL-1\\.0(?:-only|-or-later|\\+)?", "general public|gpl"),
+    ("lgpl-2.1", "(?:GNU )?(?:Lesser General Public License|LGPL)" + _V % "2\\.1" + _OR, "LGPL-2\\.1(?:-only|-or-later|\\+)?", "lesser general|lgpl"),
+    ("lgpl-3.0", "(?:GNU )?(?:Lesser General Public License|LGPL)" + _V % "3" + _OR, "LGPL-3\\.0(?:-only|-or-later|\\+)?", "lesser general|lgpl"),
+    ("lgpl", "(?:GNU )?(?:Lesser General Public|Library General Public|LGPL)", "LGPL-2\\.0(?:-only|-or-later|\\+)?", "lesser general|library general|lgpl"),
+    ("agpl-3.0", "(?:GNU )?(?:Affero General Public License|AGPL)" + _V % "3" + _OR, "AGPL-3\\.0(?:-only|-or-later|\\+)?", "affero|agpl"),
+    ("agpl", "(?:GNU )?(?:Affero General Public|AGPL)", "AGPL-1\\.0(?:-only|-or-later)?", "affero|agpl"),
     ("fdl", "GNU Free Documentation", "GFDL-1\\.[123](?:-only|-or-later)?", "free documentation"),
     ("bsd-2-clause", "(?:2-Clause|Simplified|FreeBSD)(?: BSD)?", "BSD-2-Clause", "bsd"),
     ("bsd-3-clause", "(?:3-Clause|New|Modified|Revised) BSD", "BSD-3-Clause", "bsd"),
     ("bsd", "BSD", "BSD-4-Clause|0BSD", "bsd"),
     ("isc", "ISC", "ISC", "isc"),
-    ("mpl-1.1", "(?:Mozilla Public License|MPL)" + _V % "1\\.1", "MPL-1\\.1", "m"),
-    ("mpl-2.0", "(?:Mozilla Public License|MPL)" + _V % "2", "MPL-2\\.0", "m"),
+    ("mpl-1.1", "(?:Mozilla Public License|MPL)" + _V % "1\\.1", "MPL-1\\.1", "mozilla|mpl"),
+    ("mpl-2.0", "(?:Mozilla Public License|MPL)" + _V % "2", "MPL-2\\.0", "mozilla|mpl"),
     ("mpl", "Mozilla Public", "MPL-1\\.0", "mozilla"),
-    ("epl-1.0", "(?:Eclipse Public License|EPL)" + _V % "1", "EPL-1\\.0", "e"),
-    ("epl-2.0", "(?:Eclipse Public License|EPL)" + _V % "2", "EPL-2\\.0", "e"),
+    ("epl-1.0", "(?:Eclipse Public License|EPL)" + _V % "1", "EPL-1\\.0", "eclipse|epl"),
+    ("epl-2.0", "(?:Eclipse Public License|EPL)" + _V % "2", "EPL-2\\.0", "eclipse|epl"),
     ("epl", "Eclipse Public", "EPL", "eclipse"),
-    ("cddl", "(?:Common Development and Distribution|CDDL)", "CDDL-1\\.[01]", "d"),
-    ("eupl", "(?:European Union Public|EUPL)", "EUPL-1\\.[012]", "eu"),
+    ("cddl", "(?:Common Development and Distribution|CDDL)", "CDDL-1\\.[01]", "common development|cddl"),
+    ("eupl", "(?:European Union Public|EUPL)", "EUPL-1\\.[012]", "european union|eupl"),
     ("artistic", "Artistic", "Artistic-[12]\\.0", "artistic"),
     ("zlib", "zlib(?:/libpng)?", "Zlib", "zlib"),
     ("unlicense", "Unlicense", "Unlicense", "unlicense"),
-    ("wtfpl", "(?:WTFPL|Do What The F[u*]ck You Want To Public)", "WTFPL", "wtf"),
+    ("wtfpl", "(?:WTFPL|Do What The F[u*]ck You Want To Public)", "WTFPL", "wtfpl|do what the"),
     ("boost", "Boost Software", "BSL-1\\.0", "boost"),
-    ("python", "Python Software Foundation|PSF", "PSF-2\\.0|Python-2\\.0", "p"),
+    ("python", "Python Software Foundation|PSF", "PSF-2\\.0|Python-2\\.0", "python software|psf"),
     ("ruby", "Ruby", "Ruby", "ruby"),
     ("php", "PHP", "PHP-3\\.0[1]?", "php"),
     ("postgresql", "PostgreSQL", "PostgreSQL", "postgresql"),
     ("openssl", "OpenSSL", "OpenSSL", "openssl"),
     ("ofl", "(?:SIL )?Open Font", "OFL-1\\.[01]", "open font"),
-    ("cc0", "(?:CC0|Creative Commons Zero)(?: 1\\.0)?", "CC0-1\\.0", "c"),
-    ("cc-by", "(?:CC[ -]BY|Creative Commons Attribution)(?: [1234]\\.[05])?", "CC-BY-[1234]\\.[05]", "c"),
-    ("cc-by-sa", "(?:CC[ -]BY-SA|Creative Commons Attribution-ShareAlike)(?: [1234]\\.[05])?", "CC-BY-SA-[1234]\\.[05]", "c"),
-    ("cc-by-nd", "(?:CC[ -]BY-ND|Creative Commons Attribution-NoDerivatives)(?: [1234]\\.[05])?", "CC-BY-ND-[1234]\\.[05]", "c"),
-    ("cc-by-nc", "(?:CC[ -]BY-NC|Creative Commons Attribution-NonCommercial)(?: [1234]\\.[05])?", "CC-BY-NC-[1234]\\.[05]", "c"),
-    ("cc-by-nc-sa", "(?:CC[ -]BY-NC-SA|Creative Commons Attribution-NonCommercial-ShareAlike)(?: [1234]\\.[05])?", "CC-BY-NC-SA-[1234]\\.[05]", "c"),
-    ("cc-by-nc-nd", "(?:CC[ -]BY-NC-ND|Creative Commons Attribution-NonCommercial-NoDerivatives)(?: [1234]\\.[05])?", "CC-BY-NC-ND-[1234]\\.[05]", "c"),
-    ("odbl", "(?:Open Database|ODbL)", "ODbL-1\\.0", "od"),
+    ("cc0", "(?:CC0|Creative Commons Zero)(?: 1\\.0)?", "CC0-1\\.0", "cc0|creative commons zero"),
+    ("cc-by", "(?:CC[ -]BY|Creative Commons Attribution)(?: [1234]\\.[05])?", "CC-BY-[1234]\\.[05]", "cc-by|cc by|creative commons attribution"),
+    ("cc-by-sa", "(?:CC[ -]BY-SA|Creative Commons Attribution-ShareAlike)(?: [1234]\\.[05])?", "CC-BY-SA-[1234]\\.[05]", "by-sa|sharealike"),
+    ("cc-by-nd", "(?:CC[ -]BY-ND|Creative Commons Attribution-NoDerivatives)(?: [1234]\\.[05])?", "CC-BY-ND-[1234]\\.[05]", "by-nd|noderivatives"),
+    ("cc-by-nc", "(?:CC[ -]BY-NC|Creative Commons Attribution-NonCommercial)(?: [1234]\\.[05])?", "CC-BY-NC-[1234]\\.[05]", "by-nc|noncommercial"),
+    ("cc-by-nc-sa", "(?:CC[ -]BY-NC-SA|Creative Commons Attribution-NonCommercial-ShareAlike)(?: [1234]\\.[05])?", "CC-BY-NC-SA-[1234]\\.[05]", "nc-sa|noncommercial"),
+    ("cc-by-nc-nd", "(?:CC[ -]BY-NC-ND|Creative Commons Attribution-NonCommercial-NoDerivatives)(?: [1234]\\.[05])?", "CC-BY-NC-ND-[1234]\\.[05]", "nc-nd|noncommercial"),
+    ("odbl", "(?:Open Database|ODbL)", "ODbL-1\\.0", "open database|odbl"),
     ("ogl", "Open Government", "OGL-UK-[123]\\.0", "open government"),
-    ("proprietary", "(?:proprietary|commercial)(?: software)?", "LicenseRef-[A-Za-z0-9.-]{1,60}", "r"),
+    ("proprietary", "(?:proprietary|commercial)(?: software)?", "LicenseRef-[A-Za-z0-9.-]{1,60}", "proprietary|commercial"),
 ]
 #: Statement forms around a name: (regex with %s for the name, priority, confidence). Priority 6 is the highest.
 _SP = "[ \\t]{0,3}\\r?\\n?[ \\t*#/]{0,4}"
@@ -92,7 +92,7 @@ LEVELS = 6
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, regex, keyword, priority, confidence): every form for every name, and the others."""
+    """(label, regex, keywords, priority, confidence): every form for every name, and the others."""
     out = []
     for label, name, spdx, keyword in NAMES:
         for form, priority, confidence in FORMS:
@@ -128,17 +128,19 @@ def scan(docs: DataFrame) -> DataFrame:
     independent of each other, repeated ones included. The rules' table is fixed, so it goes along with the plan.
     """
     text = F.coalesce("text", F.lit(""))
-    listed = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).alias("k"), F.lit(p).alias("p")) for r, (_, p, k, _, _) in enumerate(rules())])
+    listed = F.array(*[F.struct(F.lit(r).alias("r"), F.array(*[F.lit(x) for x in k.split("|")]).alias("k"), F.lit(p).alias("p")) for r, (_, p, k, _, _) in enumerate(rules())])
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), text.alias("_t"))
-    split = F.split("_t", NOT_WORD)
-    edges = F.when(F.element_at(split, 1) == "", 1).otherwise(0) + F.when((F.size(split) > 1) & (F.element_at(split, -1) == ""), 1).otherwise(0)
-    rows = rows.withColumn("n_words", (F.size(split) - edges).cast("long")).withColumn("_g", F.when(gate_of("_t"), F.col("_t")))
+
+    def count(s):
+        return F.size(s) - F.when(F.get(s, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(s) > 1) & (F.element_at(s, -1) == ""), 1).otherwise(0)
+
+    rows = rows.withColumn("n_words", let(F.split("_t", NOT_WORD), count).cast("long")).withColumn("_g", F.when(gate_of("_t"), F.col("_t")))
     none = F.array().cast("array<struct<i:int,label:string>>")
     lower_words = F.filter(F.split(ascii_lower(F.col("_g")), NOT_WORD), lambda x: x != "")
     rows = rows.withColumn("_b", F.when(F.col("_g").contains("icense") | F.lower("_g").contains("license"), _base(lower_words)).otherwise(none))
-    matched = let(F.lower("_g"), lambda t: F.transform(F.filter(listed, lambda r: t.contains(r.k)), lambda r: F.struct(r.r.alias("r"), r.p.alias("p"))))
+    matched = let(F.lower("_g"), lambda t: F.transform(F.filter(listed, lambda r: F.exists(r.k, lambda k: t.contains(k))), lambda r: F.struct(r.r.alias("r"), r.p.alias("p"))))
     rows = rows.select("doc_id", "_row", "n_words", "_b", "_g", F.explode_outer(F.when(F.col("_g").isNotNull(), matched)).alias("_m"))
-    found = rows.select("doc_id", "_row", "n_words", "_b", F.col("_m.r").alias("_r"), F.explode_outer(F.when(F.col("_m").isNotNull(), hits(F.col("_g"), F.col("_m.p")))).alias("_x"))
+    found = rows.select("doc_id", "_row", "n_words", "_b", F.col("_m.r").alias("_r"), F.explode_outer(F.when(F.col("_m").isNotNull() & F.regexp_like("_g", F.col("_m.p")), hits(F.col("_g"), F.col("_m.p")))).alias("_x"))
     before = Window.partitionBy("_row", "_r").orderBy("_x.k").rowsBetween(Window.unboundedPreceding, 0)
     labels, levels, sure = ([F.lit(x[k]) for x in rules()] for k in (0, 3, 4))
     of = lambda values: F.element_at(F.array(*values), F.col("_r") + 1)
@@ -166,8 +168,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def gate_of(column: str):
     """Column: whether a text has one of GATE in any case."""
-    low = F.lower(column)
-    out = low.contains(GATE[0])
-    for g in GATE[1:]:
-        out = out | low.contains(g)
-    return out
+
+    def any_of(low):
+        out = low.contains(GATE[0])
+        for g in GATE[1:]:
+            out = out | low.contains(g)
+        return out
+
+    return let(F.lower(column), any_of)
