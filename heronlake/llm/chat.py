@@ -11,35 +11,43 @@ from .common import cut
 STRETCH = 256
 
 
-def prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """conv, turn, role, text with pos (from 1), n (turns of the conversation) and a, b: rolling hashes of turns 1 to pos.
+def _by_part(frame: DataFrame, *aggs) -> DataFrame:
+    return frame.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(*aggs)
 
-    The hash of a prefix is the exclusive-or of two 64-bit hashes of each (position, role, text): it rolls from turn to turn,
-    and over stretches, without the texts being brought together. Turns are in order of turn (null first), ties of role, then text.
-    Null roles and texts differ from empty ones.
+
+def _back(frame: DataFrame, side: DataFrame) -> DataFrame:
+    return frame.join(side, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).drop("c", "p")
+
+
+def numbered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> tuple[DataFrame, DataFrame]:
+    """(turns with part, k and two hashes of role and text; of each part the turns before it and those of the conversation).
+
+    Turns are in order of turn (null first), ties of role, then text; k counts within a stretch. This is the one step that moves texts.
     """
-    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col("role"), F.col("text"))
+    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), "role", "text")
     rows = rows.withColumn("part", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / STRETCH).cast("long"))
     inner = Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    said = {"x": F.xxhash64(F.lit(1), "role", F.lit(2), "text"), "y": F.xxhash64(F.lit(7), "text", F.lit(8), "role")}
+    rows = cut(rows.withColumn("k", F.row_number().over(inner)).withColumns(said).drop("turn"))
     earlier = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = _by_part(rows, F.count(F.lit(1)).alias("m"))
+    return rows, cut(sizes.select("c", "p", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("c")).alias("n")))
 
-    def by_part(frame: DataFrame, *aggs) -> DataFrame:
-        return frame.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(*aggs)
 
-    def back(frame: DataFrame, side: DataFrame) -> DataFrame:
-        return frame.join(side, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).drop("c", "p")
+def prefixes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """conv_id, pos (from 1), n (turns of the conversation) and a, b: rolling hashes of turns 1 to pos.
 
-    numbered = rows.withColumn("k", F.row_number().over(inner))
-    sizes = by_part(rows, F.count(F.lit(1)).alias("m"))
-    sizes = sizes.select("c", "p", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("c")).alias("n"))
-    placed = back(numbered, sizes).withColumn("pos", F.col("before") + F.col("k")).drop("before")
-    placed = placed.withColumn("x", F.xxhash64("pos", F.lit(1), "role", F.lit(2), "text")).withColumn("y", F.xxhash64(F.lit(7), "text", F.lit(8), "role", "pos"))
-    placed = cut(placed)
-    totals = by_part(placed, F.bit_xor("x").alias("tx"), F.bit_xor("y").alias("ty"))
+    The hash of a prefix is the exclusive-or of two 64-bit hashes of each (position, role, text): it rolls from turn to turn,
+    and over stretches. Null roles and texts differ from empty ones.
+    """
+    placed = _back(rows.select("conv_id", "part", "k", "x", "y"), sizes).withColumn("pos", F.col("before") + F.col("k"))
+    placed = placed.withColumns({"x": F.xxhash64("pos", "x"), "y": F.xxhash64("y", "pos")})
+    earlier = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = _by_part(placed, F.bit_xor("x").alias("tx"), F.bit_xor("y").alias("ty"))
     totals = totals.select("c", "p", *[F.coalesce(F.bit_xor(t).over(earlier), F.lit(0)).alias(f"b{t}") for t in ("tx", "ty")])
     run = Window.partitionBy("conv_id", "part").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = back(placed.withColumn("rx", F.bit_xor("x").over(run)).withColumn("ry", F.bit_xor("y").over(run)), totals)
-    return rolled.select("conv_id", "turn", "role", "text", "pos", "n", F.expr("rx ^ btx").alias("a"), F.expr("ry ^ bty").alias("b"))
+    rolled = _back(placed.withColumns({"rx": F.bit_xor("x").over(run), "ry": F.bit_xor("y").over(run)}), totals)
+    return rolled.select("conv_id", "pos", "n", F.expr("rx ^ btx").alias("a"), F.expr("ry ^ bty").alias("b"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -59,9 +67,10 @@ def collapse(conversations: DataFrame, opening: str = "<|", closing: str = "|>\n
     A null role or text is rendered as empty. A conversation becomes one string, so its turns meet in one task; no rows give no rows.
     A null conv_id is a conversation like any other.
     """
-    turns = cut(prefixes(conversations))
-    kept = maximal(turns).withColumnRenamed("conv_id", "kept_id")
-    joined = turns.select("conv_id", "pos", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    rows, sizes = numbered(conversations)
+    kept = cut(maximal(cut(prefixes(rows, sizes))).withColumnRenamed("conv_id", "kept_id"))
+    placed = _back(rows.select("conv_id", "part", "k", "role", "text"), sizes).withColumn("pos", F.col("before") + F.col("k"))
+    joined = placed.select("conv_id", "pos", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
     said = F.concat(F.lit(opening), F.coalesce("role", F.lit("")), F.lit(closing), F.coalesce("text", F.lit("")), F.lit(ending))
     lists = joined.groupBy("conv_id", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("all"))
     return lists.select("conv_id", "n_turns", "copies", F.concat_ws("", F.transform("all", lambda x: x.said)).alias("rendered"))
