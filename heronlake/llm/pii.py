@@ -144,10 +144,11 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
     """docs with texts in which base spans are [EMAIL], [IP], [CARD] or [PHONE], and revealing terms are replaced by ``general``'s
     word for them, numbers by their number of digits, others removed ([TERM]). Overlapping spans become one, named by the first.
 
-    Rows are matched by doc_id, which has to name one text. Changes are broadcast when they are SMALL rows
-    of SMALL_BYTES at most, else joined by a shuffle. All columns of docs stay; n_chars, where there is one, follows the text.
+    Changes are matched by two 64-bit hashes of the text, so null or repeated ids do no harm and equal texts are changed alike. They
+    are broadcast when they are SMALL rows of SMALL_BYTES at most, else joined by a shuffle. All columns of docs stay; n_chars, where there is one, follows the text.
     """
-    all_ = spans(docs.select("doc_id", "text"), support, disclosure).where("kind is not null")
+    key = F.concat_ws(":", F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text")))
+    all_ = spans(docs.select(key.alias("doc_id"), "text"), support, disclosure).where("kind is not null")
     lists = cut(all_.groupBy("_row").agg(F.first("doc_id").alias("_id"), F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans")).drop("_row").dropDuplicates(["_id"]))
     size = lists.agg(F.count(F.lit(1)), F.sum(F.size("_spans") * 32)).first()
     side = F.broadcast(lists) if size[0] <= SMALL and (size[1] or 0) <= SMALL_BYTES else lists
@@ -164,7 +165,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
 
     zero = F.struct(F.lit(0).cast("bigint").alias("to"), F.array().cast("array<string>").alias("out"))
     new = F.aggregate("_spans", zero, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, (a.to + 1).cast("int"), F.length(text))))
-    joined = docs.join(side, docs["doc_id"] == F.col("_id"), "left")
+    joined = docs.withColumn("_key", key).join(side, F.col("_key") == F.col("_id"), "left")
     out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), new).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))

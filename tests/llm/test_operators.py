@@ -158,6 +158,12 @@ def test_revealing_terms(spark):
     assert by_id(pii.sanitise(docs, general={"zorblatt": "person"}))[0].text.split()[3] == "person"
 
 
+def test_sanitised_ids(spark):
+    rows = [(None, "mail a@b.cc now"), (None, "call +1 555 123 4567"), (7, "x@y.zz"), (7, "clean"), (8, None), (9, "x@y.zz")]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_spans_", F.lit(1))).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "call [PHONE]"), (0, "mail [EMAIL] now"), (7, "[EMAIL]"), (7, "clean"), (8, ""), (9, "[EMAIL]")]
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
