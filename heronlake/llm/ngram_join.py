@@ -26,7 +26,7 @@ from .graph import components
 CHUNK, CHUNK_BYTES = 4095, 4 << 20
 #: Stands for a text where an n-gram has several in its chunk.
 SEVERAL = 65535
-#: Shares of the fingerprints for each partition of the input (rounded to a power of two), and for candidate links.
+#: Shares of the fingerprints for each partition of the input (rounded to a power of two); shares for candidate links at least, else as many as partitions.
 SHARES, LINK_SHARES = 8, 32
 #: N-grams of a component that are joined in one task; larger components are joined by pairs of blocks.
 TASK = 4_000_000
@@ -234,7 +234,7 @@ def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+def _candidates(classes: DataFrame, percent: int, shares: int) -> DataFrame:
     """u, v: links between classes that share an n-gram within their prefixes, a spanning forest for each share of the n-grams."""
 
     def deal(batches):
@@ -256,10 +256,10 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
             ids, node = np.unique(owner, return_inverse=True)
             root = roots_of(node[same], node[same + 1], len(ids))
             moved = np.flatnonzero(root != np.arange(len(ids)))
-            rows = [(int(ids[0] % LINK_SHARES), 1, ids[moved].tobytes() + ids[root[moved]].tobytes())] if len(moved) else []
+            rows = [(int(ids[0] % shares), 1, ids[moved].tobytes() + ids[root[moved]].tobytes())] if len(moved) else []
             once = np.concatenate([[True], gram[1:] != gram[:-1]])
             gram, owner = gram[once], owner[once]
-            share = (mixed(gram) % np.uint64(LINK_SHARES)).astype(np.uint8)
+            share = (mixed(gram) % np.uint64(shares)).astype(np.int32)
             order = np.argsort(share, kind="stable")
             gram, owner, share = gram[order], owner[order], share[order]
             cuts = np.concatenate([[0], np.flatnonzero(share[1:] != share[:-1]) + 1, [len(share)]])
@@ -282,7 +282,7 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[m]), pa.array(ids[root[m]])], names=["u", "v"])
 
     dealt = classes.select("class_id", "n", "shared", "grams").mapInArrow(deal, _PACKED)
-    return dealt.repartition(LINK_SHARES, "share").sortWithinPartitions("share").mapInArrow(link, "u long, v long")
+    return dealt.repartition(shares, "share").sortWithinPartitions("share").mapInArrow(link, "u long, v long")
 
 
 class Trie:
@@ -450,7 +450,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     heads = classes.select(F.col("class_id").alias("doc_id"), F.col("sig").alias("head_sig"))
     first = some.join(_small(heads), "doc_id", "left_semi").where("doc_id is not null").withColumnRenamed("doc_id", "class_id").select("class_id", "n", "shared", "grams")
     first = cut(first.dropDuplicates(["class_id"]))
-    comps = cut(components(_candidates(first, percent)))
+    comps = cut(components(_candidates(first, percent, max(LINK_SHARES, n_parts))))
     pieces = first.join(_small(comps.withColumnRenamed("node", "class_id").withColumnRenamed("root", "comp")), "class_id").withColumn("grams_n", F.octet_length("grams") / 8)
     pieces = cut(pieces.select("comp", "class_id", "n", "grams", "grams_n"))
     labels = _labels(pieces, percent)
