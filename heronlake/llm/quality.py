@@ -44,9 +44,16 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
 
         return let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), twins)
 
+    def pairs(hashes: Column, step: int) -> Column:
+        return let(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step))))
+
     def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, window)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(starts(h), cover)))
+        hashes, step = F.transform(w, lambda x: F.xxhash64(x)), 1
+        while 2 * step <= window:  # windows of 2, 4, 8 words from two of half the size
+            hashes, step = pairs(hashes, step), 2 * step
+        if step < window:  # the rest overlaps
+            hashes = pairs(hashes, window - step)
+        return let(F.slice(hashes, F.lit(1), F.size(w) - window + 1), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(starts(h), cover)))
 
     return F.when(F.size(found) < window + 1, F.lit(0)).otherwise(let(found, of))
 

@@ -256,6 +256,17 @@ def test_quality(spark, docs, none):
     assert quality.judge(none).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 6, 8, 11])
+def test_windows_of_any_size(spark, window):
+    rng = random.Random(window)
+    texts = [[rng.choice("abc") for _ in range(rng.randint(0, 60))] for _ in range(60)]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, w array<string>").orderBy("i").select(quality.repeated_words(F.col("w"), window)).collect()]
+    for t, n in zip(texts, got, strict=True):
+        found = [tuple(t[i : i + window]) for i in range(len(t) - window + 1)]
+        cover = {j for i, x in enumerate(found) if found.count(x) > 1 for j in range(i, i + window)}
+        assert n == len(cover)
+
+
 def test_host_verdicts(spark, monkeypatch):
     good, bad = "word " * 3 + " ".join(f"w{k}" for k in range(30)), "too short"
     rows = [(i, good, "fine") for i in range(50)] + [(100 + i, bad, "spam") for i in range(50)] + [(200, good, "spam"), (201, bad, "tiny"), (202, good, "tiny2"), (203, good, None)]
