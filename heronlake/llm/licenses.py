@@ -12,8 +12,6 @@ from .spans import hits
 #: Phrases of the base count: words that stand one after the other, and their label.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: A text without any of these has no license statement that a rule knows.
-GATE = ("licen", "copyright", "spdx", "public domain", "copyleft")
 _V = "(?:[ ,;(-]{0,3}(?:version|ver\\.?|v\\.?)?[ -]{0,2}%s(?:\\.0)?(?![0-9.][0-9]))"
 _OR = "(?:[ ,(]{0,2}or[ ](?:\\(at your option\\)[ ]?)?(?:any[ ])?later(?:[ ]version)?\\)?)?"
 #: label, name as written (a regex), SPDX ids, keywords of which a text must hold one. Names that are part of others have the shorter match.
@@ -65,16 +63,16 @@ NAMES = [
     ("ogl", "Open Government", "OGL-UK-[123]\\.0", "open government"),
     ("proprietary", "(?:proprietary|commercial)(?: software)?", "LicenseRef-[A-Za-z0-9.-]{1,60}", "proprietary|commercial"),
 ]
-#: Statement forms around a name: (regex with %s for the name, priority, confidence). Priority 6 is the highest.
+#: Statement forms around a name: (regex with %s for the name, a word that it can't match without, priority, confidence). Priority 6 is the highest.
 _SP = "[ \\t]{0,3}\\r?\\n?[ \\t*#/]{0,4}"
 FORMS = [
-    ("SPDX-License-Identifier:[ \\t]{0,4}(?:%s)(?![A-Za-z0-9-])", 6, 1.0),
-    ("(?:is|are|be|being)" + _SP + "(?:dual-)?(?:licensed|released|distributed|published|available|provided)" + _SP + "under" + _SP + "(?:the" + _SP + ")?(?:terms" + _SP + "of" + _SP + "(?:the" + _SP + ")?)?(?:%s)(?![A-Za-z0-9])(?:" + _SP + "licen[sc]e)?", 5, 0.95),
-    ("(?:licensed|released|distributed|published|available|provided)" + _SP + "under" + _SP + "(?:an?" + _SP + "|the" + _SP + ")?(?:terms" + _SP + "of" + _SP + "(?:the" + _SP + ")?)?(?:%s)(?![A-Za-z0-9])(?:" + _SP + "licen[sc]e)?", 4, 0.9),
-    ("under" + _SP + "the" + _SP + "terms" + _SP + "of" + _SP + "(?:an?" + _SP + "|the" + _SP + ")?(?:%s)(?![A-Za-z0-9])(?:" + _SP + "licen[sc]e)?", 4, 0.85),
-    ("licen[sc]e[ds]?[ \\t]{0,4}[:=][ \\t]{0,4}[\"']?(?:%s)(?![A-Za-z0-9-])", 3, 0.8),
-    ("(?<![A-Za-z0-9-])(?:%s)" + _SP + "licen[sc]e(?![A-Za-z])", 2, 0.7),
-    ("(?:see|read|accept|follow|subject" + _SP + "to)" + _SP + "(?:the" + _SP + ")?(?:%s)" + _SP + "licen[sc]e(?![A-Za-z])", 3, 0.75),
+    ("SPDX-License-Identifier:[ \\t]{0,4}(?:%s)(?![A-Za-z0-9-])", "spdx-license-identifier", 6, 1.0),
+    ("(?:is|are|be|being)" + _SP + "(?:dual-)?(?:licensed|released|distributed|published|available|provided)" + _SP + "under" + _SP + "(?:the" + _SP + ")?(?:terms" + _SP + "of" + _SP + "(?:the" + _SP + ")?)?(?:%s)(?![A-Za-z0-9])(?:" + _SP + "licen[sc]e)?", "under", 5, 0.95),
+    ("(?:licensed|released|distributed|published|available|provided)" + _SP + "under" + _SP + "(?:an?" + _SP + "|the" + _SP + ")?(?:terms" + _SP + "of" + _SP + "(?:the" + _SP + ")?)?(?:%s)(?![A-Za-z0-9])(?:" + _SP + "licen[sc]e)?", "under", 4, 0.9),
+    ("under" + _SP + "the" + _SP + "terms" + _SP + "of" + _SP + "(?:an?" + _SP + "|the" + _SP + ")?(?:%s)(?![A-Za-z0-9])(?:" + _SP + "licen[sc]e)?", "under", 4, 0.85),
+    ("licen[sc]e[ds]?[ \\t]{0,4}[:=][ \\t]{0,4}[\"']?(?:%s)(?![A-Za-z0-9-])", "licen", 3, 0.8),
+    ("(?<![A-Za-z0-9-])(?:%s)" + _SP + "licen[sc]e(?![A-Za-z])", "licen", 2, 0.7),
+    ("(?:see|read|accept|follow|subject" + _SP + "to)" + _SP + "(?:the" + _SP + ")?(?:%s)" + _SP + "licen[sc]e(?![A-Za-z])", "licen", 3, 0.75),
 ]
 #: Statements that name no license.
 OTHERS = [
@@ -91,13 +89,33 @@ OTHERS = [
 LEVELS = 6
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, regex, keywords, priority, confidence): every form for every name, and the others."""
+def rules() -> list[tuple[str, str, str, str, int, float]]:
+    """(label, regex, word, keywords, priority, confidence): every form for every name, and the others.
+
+    The regex matches only texts that hold, in any case, the word and one of the keywords.
+    """
     out = []
     for label, name, spdx, keyword in NAMES:
-        for form, priority, confidence in FORMS:
-            out.append((label, "(?i)" + form % (spdx if priority == LEVELS else name), "spdx" if priority == LEVELS else keyword, priority, confidence))
-    return out + [(label, "(?i)" + regex, keyword, priority, confidence) for label, regex, keyword, priority, confidence in OTHERS]
+        for form, word, priority, confidence in FORMS:
+            out.append((label, "(?i)" + form % (spdx if priority == LEVELS else name), word, word if priority == LEVELS else keyword, priority, confidence))
+    return out + [(label, "(?i)" + regex, keyword, keyword, priority, confidence) for label, regex, keyword, priority, confidence in OTHERS]
+
+
+def _to_run(text):
+    """Array of struct(r, p): number and regex of the rules whose word and one of whose keywords a text holds. Each is looked for once a word."""
+    words: dict[str, dict[str, list]] = {}
+    for r, (_, p, word, keywords, _, _) in enumerate(rules()):
+        words.setdefault(word, {}).setdefault(keywords, []).append(F.struct(F.lit(r).alias("r"), F.lit(p).alias("p")))
+    listed = F.array(*[
+        F.struct(F.lit(w).alias("w"), F.array(*[F.struct(F.array(*[F.lit(x) for x in k.split("|")]).alias("k"), F.array(*m).alias("m")) for k, m in of.items()]).alias("of"))
+        for w, of in words.items()
+    ])
+
+    def of(low):
+        held = F.flatten(F.transform(F.filter(listed, lambda x: low.contains(x.w)), lambda x: x.of))
+        return F.flatten(F.transform(F.filter(held, lambda x: F.exists(x.k, lambda k: low.contains(k))), lambda x: x.m))
+
+    return let(F.lower(text), of)
 
 
 def _base(found):
@@ -121,28 +139,26 @@ def _base(found):
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections.
 
-    Rules run over a text only if it has one of GATE and the rule's keyword. Of detections in one text, those that lie
+    A rule runs over the texts that hold its word and a keyword, without which it can't match. Of detections in one text, those that lie
     within one of higher priority are dropped, as are those within an equal or longer one of the same priority (of equal
     ones the first label stays). detections: array of struct(start, end, label, confidence) in code points, in order.
     score: the highest confidence, 0.5 where only base phrases were found, else 0. Null text counts as empty; rows are
     independent of each other, repeated ones included. The rules' table is fixed, so it goes along with the plan.
     """
     text = F.coalesce("text", F.lit(""))
-    listed = F.array(*[F.struct(F.lit(r).alias("r"), F.array(*[F.lit(x) for x in k.split("|")]).alias("k"), F.lit(p).alias("p")) for r, (_, p, k, _, _) in enumerate(rules())])
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), text.alias("_t"))
 
     def count(s):
         return F.size(s) - F.when(F.get(s, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(s) > 1) & (F.element_at(s, -1) == ""), 1).otherwise(0)
 
-    rows = rows.withColumn("n_words", let(F.split("_t", NOT_WORD), count).cast("long")).withColumn("_g", F.when(gate_of("_t"), F.col("_t")))
+    rows = rows.withColumn("n_words", let(F.split("_t", NOT_WORD), count).cast("long"))
     none = F.array().cast("array<struct<i:int,label:string>>")
-    lower_words = F.filter(F.split(ascii_lower(F.col("_g")), NOT_WORD), lambda x: x != "")
-    rows = rows.withColumn("_b", F.when(F.col("_g").contains("icense") | F.lower("_g").contains("license"), _base(lower_words)).otherwise(none))
-    matched = let(F.lower("_g"), lambda t: F.transform(F.filter(listed, lambda r: F.exists(r.k, lambda k: t.contains(k))), lambda r: F.struct(r.r.alias("r"), r.p.alias("p"))))
-    rows = rows.select("doc_id", "_row", "n_words", "_b", "_g", F.explode_outer(F.when(F.col("_g").isNotNull(), matched)).alias("_m"))
-    found = rows.select("doc_id", "_row", "n_words", "_b", F.col("_m.r").alias("_r"), F.explode_outer(F.when(F.col("_m").isNotNull() & F.regexp_like("_g", F.col("_m.p")), hits(F.col("_g"), F.col("_m.p")))).alias("_x"))
+    lower_words = F.filter(F.split(ascii_lower(F.col("_t")), NOT_WORD), lambda x: x != "")
+    rows = rows.withColumn("_b", F.when(F.col("_t").contains("icense") | F.lower("_t").contains("license"), _base(lower_words)).otherwise(none))
+    rows = rows.select("doc_id", "_row", "n_words", "_b", "_t", F.explode_outer(_to_run(F.col("_t"))).alias("_m"))
+    found = rows.select("doc_id", "_row", "n_words", "_b", F.col("_m.r").alias("_r"), F.explode_outer(F.when(F.col("_m").isNotNull() & F.regexp_like("_t", F.col("_m.p")), hits(F.col("_t"), F.col("_m.p")))).alias("_x"))
     before = Window.partitionBy("_row", "_r").orderBy("_x.k").rowsBetween(Window.unboundedPreceding, 0)
-    labels, levels, sure = ([F.lit(x[k]) for x in rules()] for k in (0, 3, 4))
+    labels, levels, sure = ([F.lit(x[k]) for x in rules()] for k in (0, 4, 5))
     of = lambda values: F.element_at(F.array(*values), F.col("_r") + 1)
     placed = found.withColumn("end", F.sum(F.col("_x.gap") + F.length("_x.hit")).over(before)).withColumn("start", F.col("end") - F.length("_x.hit"))
     placed = placed.select("doc_id", "_row", "n_words", "_b", "start", "end", of(labels).alias("label"), of(levels).alias("level"), of(sure).alias("sure"))
@@ -164,15 +180,3 @@ def scan(docs: DataFrame) -> DataFrame:
         F.coalesce(F.array_max(F.transform("detections", lambda x: x.confidence)), F.when(F.size("_b") > 0, 0.5), F.lit(0.0)).alias("score"),
         "detections",
     )
-
-
-def gate_of(column: str):
-    """Column: whether a text has one of GATE in any case."""
-
-    def any_of(low):
-        out = low.contains(GATE[0])
-        for g in GATE[1:]:
-            out = out | low.contains(g)
-        return out
-
-    return let(F.lower(column), any_of)

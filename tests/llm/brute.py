@@ -138,3 +138,11 @@ def components(docs):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def license_rules(text, rules):
+    """Detections of all rules, each run over the whole text, and what is left when each is compared with each."""
+    found = {(m.start(), m.end(), label, level, sure) for label, p, level, sure in rules for m in re.finditer(p, text or "", re.ASCII)}
+    order = sorted(found, key=lambda x: (x[0], -x[1], -x[3], x[2]))
+    kept = [x for i, x in enumerate(order) if not any(y[1] >= x[1] and y[3] >= x[3] for y in order[:i])]
+    return sorted((a, b, label, sure) for a, b, label, _, sure in kept)
