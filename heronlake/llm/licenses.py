@@ -29,7 +29,7 @@ NAMES = [
     ("agpl-3.0", "(?:GNU )?(?:Affero General Public License|AGPL)" + _V % "3" + _OR, "AGPL-3\\.0(?:-only|-or-later|\\+)?", "affero|agpl"),
     ("agpl", "(?:GNU )?(?:Affero General Public|AGPL)", "AGPL-1\\.0(?:-only|-or-later)?", "affero|agpl"),
     ("fdl", "GNU Free Documentation", "GFDL-1\\.[123](?:-only|-or-later)?", "free documentation"),
-    ("bsd-2-clause", "(?:2-Clause|Simplified|FreeBSD)(?: BSD)?", "BSD-2-Clause", "bsd"),
+    ("bsd-2-clause", "(?:2-Clause|Simplified|FreeBSD)(?: BSD)?", "BSD-2-Clause", "2-clause|simplified|freebsd"),
     ("bsd-3-clause", "(?:3-Clause|New|Modified|Revised) BSD", "BSD-3-Clause", "bsd"),
     ("bsd", "BSD", "BSD-4-Clause|0BSD", "bsd"),
     ("isc", "ISC", "ISC", "isc"),
@@ -74,16 +74,16 @@ FORMS = [
     ("(?<![A-Za-z0-9-])(?:%s)" + _SP + "licen[sc]e(?![A-Za-z])", "licen", 2, 0.7),
     ("(?:see|read|accept|follow|subject" + _SP + "to)" + _SP + "(?:the" + _SP + ")?(?:%s)" + _SP + "licen[sc]e(?![A-Za-z])", "licen", 3, 0.75),
 ]
-#: Statements that name no license.
+#: Statements that name no license, with words that each regex can't match without.
 OTHERS = [
-    ("all-rights-reserved", "all rights reserved", "copyright", 3, 0.6),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved", 3, 0.6),
     ("all-rights-reserved", "copyright[ \\t]{0,3}(?:\\(c\\)|\u00a9)?[ \\t]{0,3}(?:19|20)[0-9]{2}", "copyright", 1, 0.3),
     ("public-domain", "(?:released|placed|dedicated)" + _SP + "(?:in|in?to)" + _SP + "the" + _SP + "public domain", "public domain", 4, 0.9),
     ("public-domain", "(?:is|are)" + _SP + "in" + _SP + "the" + _SP + "public domain", "public domain", 3, 0.7),
     ("copyleft", "copyleft", "copyleft", 1, 0.3),
-    ("mit", "permission is hereby granted, free of charge", "license", 4, 0.8),
-    ("isc", "permission to use, copy, modify, and(?:/or)? distribute this software", "license", 4, 0.7),
-    ("bsd", "redistribution and use in source and binary forms", "license", 4, 0.8),
+    ("mit", "permission is hereby granted, free of charge", "permission is hereby granted", 4, 0.8),
+    ("isc", "permission to use, copy, modify, and(?:/or)? distribute this software", "permission to use", 4, 0.7),
+    ("bsd", "redistribution and use in source and binary forms", "redistribution and use", 4, 0.8),
     ("license-file", "see" + _SP + "(?:the" + _SP + ")?licen[sc]e" + _SP + "(?:file|for details)", "licen", 1, 0.2),
 ]
 LEVELS = 6
