@@ -377,12 +377,12 @@ class Collection:
             lists = vector.InvertedLists.train(self.frame(), i["field"], i["metric"], i["cells"])
             assigned = lists.assign(self.frame(), i["field"])
             path = self.db.write(assigned.repartition("cell").sortWithinPartitions("cell"))
-            done = {"path": path, "version": self.meta["written"], "centres": lists.centres.tolist(), "schema": assigned.schema.json()}
+            done = {"path": path, "version": self.meta["written"], "centres": lists.centres.tolist(), "probes": lists.probes, "schema": assigned.schema.json()}
             self.db.commit(lambda m: m["collections"][self.name]["indexes"][name].update(done))
             i = self.meta["indexes"][name]
         import numpy as np
 
-        return vector.InvertedLists(np.array(i["centres"]), i["metric"]), self.db.read(i["path"], i["schema"])
+        return vector.InvertedLists(np.array(i["centres"]), i["metric"], i.get("probes", ())), self.db.read(i["path"], i["schema"])
 
     def create_text_index(self, field: str, stop: bool = True, stems: bool = True) -> None:
         self._index("text", field, stop=stop, stems=stems)
