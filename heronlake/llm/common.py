@@ -48,17 +48,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heronlake-checkpoints"))
     return named or sc.getCheckpointDir()
 
 
+#: Paths made since each ``cleared`` that is open began.
+_OPEN: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/heronlake-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/heronlake-{name}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession):
+    """Deletes at its end what ``scratch`` named within it: for use around an action whose result is whole by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        made = _OPEN.pop()
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -135,6 +157,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: Bytes that are hashed at once, some 24 bytes of memory for each.
 STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
+#: Weight of a word's length in its hash.
+LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -153,7 +177,8 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     """64-bit hashes of all words of a batch of texts, and the ordinal of each text's first word (one more at the end).
 
     A word is a run of bytes that the table doesn't map to a space; words don't cross texts.
-    The hash is a polynomial in the word's bytes modulo 2**64, from running sums, so no Python object is made for a word.
+    The hash is a polynomial in the word's bytes modulo 2**64, from running sums, and the word's length, which tells bytes of
+    0 at its end from none. No Python object is made for a word.
     """
     n = len(raw)
     if n == 0:
@@ -196,7 +221,7 @@ def word_hashes_of(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> t
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(b * up[:n], out=total[1:])
-    h = mixed((total[end] - total[begin]) * down[begin])
+    h = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * LENGTH)
     return h, np.searchsorted(begin, offsets).astype(np.int64)
 
 
@@ -206,7 +231,7 @@ FEW_IDS = 1_000_000
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs less those whose key is in ids (a column of that name): by broadcast up to FEW_IDS, beyond that by a shuffle. Null keys stay."""
-    gone = cut(ids.select(F.col(key).alias("_gone")).where("_gone is not null").distinct())
+    gone = cut(ids.select(F.col(key)).where(F.col(key).isNotNull()).distinct())
     if gone.limit(FEW_IDS + 1).count() <= FEW_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone, key, "left_anti").select(docs.columns)

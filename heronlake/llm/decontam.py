@@ -5,21 +5,26 @@ of a segment, found by the 64-bit hash of its word in a sorted dictionary, it ha
 row of all the segment's words. A query looks its terms up in each segment, starts from the term with the fewest postings
 and intersects the lists, each moved by its term's offset. A segment answers by itself, so nothing is shuffled and no
 term's list, however long over the corpus, meets in one place.
+
+The test set is written to the shared folder in blocks of some megabytes. A task reads them one after the other for each of
+its segments, so a document's matches come together where its postings are, whatever the size of the test set.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, buffers, frugal, scratch, ship, slices, word_hashes
+from .common import WORD_BYTES, buffers, frugal, mixed, scratch, ship, slices, word_hashes
 
 #: Text bytes of a segment; a longer document is a segment of its own.
 SEGMENT = 4 << 20
-#: Bytes of test text that are searched for at a time; a larger test set is split into blocks.
-BLOCK = 8 << 20
+#: Bytes of test text that are searched for at a time; a larger test set is several blocks. Blocks that a process keeps in memory.
+BLOCK, HELD = 4 << 20, 4
 INDEX = "doc_ids array<long>, starts array<long>, terms binary, firsts binary, postings binary"
 _TYPES = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
 
@@ -113,60 +118,114 @@ class Segment:
         return s[ok & starts]
 
 
-def windows(words: np.ndarray, size: int) -> list[bytes]:
-    """Hashes of each window of so many words; of all words if there are fewer; none of none."""
-    return [words[i : i + size].tobytes() for i in range(max(1, len(words) - size + 1))] if len(words) else []
-
-
-def _blocks(items: DataFrame) -> list[list]:
-    """The test set on the driver in blocks of BLOCK bytes or one item; one block is held at a time."""
+class Block:
+    """Windows of some test items: ``size`` words each, or all words of a shorter item; equal windows are one with all their items."""
+
+    def __init__(self, items: list[str], h: np.ndarray, starts: np.ndarray, size: int):
+        self.items = items
+        self.words, self.of = np.unique(h, return_inverse=True)
+        count = np.diff(starts)
+        #: By window length: first words (places in ``of``), and of each the range of its items in ``owners``.
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.owners: dict[int, np.ndarray] = {}
+        for k in np.unique(np.minimum(count[count > 0], size)).tolist():
+            mine = np.flatnonzero(count >= size if k == size else count == k)
+            n = count[mine] - k + 1
+            at = np.repeat(starts[:-1][mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            owner, total = np.repeat(mine, n), np.zeros(len(at), np.uint64)
+            for j in range(k):
+                total = mixed(total ^ h[at + j]) + np.uint64(j)
+            order = np.argsort(total, kind="stable")
+            at, owner, total = at[order], owner[order], total[order]
+            new = np.flatnonzero(np.concatenate([[True], total[1:] != total[:-1]]))
+            self.groups[k] = (at[new], np.append(new, len(at)))
+            self.owners[k] = owner
+
+    def names(self, k: int, w: int) -> set[str]:
+        ranges = self.groups[k][1]
+        return {self.items[i] for i in self.owners[k][ranges[w] : ranges[w + 1]].tolist()}
+
+
+_BLOCKS = "items array<string>, starts binary, words binary"
+_HELD: dict[tuple[str, int], list[Block]] = {}
+
+
+def write_items(items: DataFrame, path: str) -> list[str]:
+    """Writes the words of item_id and text under path in blocks; returns the files. A null item_id is written as empty; items without words stay, and match nothing."""
+    ship(items.sparkSession)
     sized = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = sized.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-int(total) * 2 // BLOCK) or 1
-    for k in range(n):
-        mine = sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        block, size = [], 0
-        for r in mine.toLocalIterator():
-            block.append((r.item, r.text))
-            size += len(r.text)
-            if size > 2 * BLOCK:
+
+    most = BLOCK
+
+    def hashed(batches):
+        def block():
+            t = pa.Table.from_batches(held).combine_chunks()
+            h, starts = word_hashes(*buffers(t.column(1)), WORD_BYTES)
+            return pa.RecordBatch.from_arrays([pa.array([t.column(0).to_pylist()], pa.list_(pa.string())), pa.array([starts.astype("<i8").tobytes()]), pa.array([h.tobytes()])], names=["items", "starts", "words"])
+
+        held, n = [], 0
+        for b in slices(batches, 1, most):
+            if held and n + b.nbytes > most:
+                yield block()
+                held, n = [], 0
+            held.append(b)
+            n += b.nbytes
+        if held:
+            yield block()
+
+    sized.repartition(max(1, -(-int(total) // most))).mapInArrow(hashed, _BLOCKS).write.parquet(path)
+    return sorted(items.sparkSession.read.schema(_BLOCKS).parquet(path).inputFiles())
+
+
+def read_blocks(files: list[str], size: int):
+    """The blocks of the files, one after the other; files of HELD blocks at most in all stay in memory for the next segment."""
+    if any(f not in files for f, _ in _HELD):
+        _HELD.clear()
+    for f in files:
+        if (f, size) in _HELD:
+            yield from _HELD[f, size]
+            continue
+        fs, at = pafs.FileSystem.from_uri(f)
+        found, count = [], 0
+        for b in pq.ParquetFile(fs.open_input_file(at)).iter_batches(1):
+            for r in b.to_pylist():
+                block = Block(r["items"], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["starts"], "<i8"), size)
                 yield block
-                block, size = [], 0
-        if block:
-            yield block
+                count += 1
+                found = [*found, block] if count + sum(map(len, _HELD.values())) <= HELD else []
+        if len(found) == count:
+            _HELD[f, size] = found
 
 
-def search(index: DataFrame, items: list[tuple[str, str]], size: int = 13, width: int | None = None, everything: bool = False) -> DataFrame:
-    """segment-wise matches of a block of test items: doc_id, n_words, spans array<struct(start, end)>, items array<string>.
+def search(index: DataFrame, items: DataFrame, size: int = 13, width: int | None = None, everything: bool = False, path: str | None = None) -> DataFrame:
+    """Matches of the items (item_id, text): doc_id, n_words, spans array<struct(start, end)>, items array<string>.
 
-    Exact: each window of ``size`` words of an item is a phrase. With ``width``: each window's words in any order within so many words.
-    spans: word positions in the document, overlapping ones joined. A row for each document with a match, or with ``everything`` for each document.
+    Exact: each window of ``size`` words of an item is a phrase, all words of a shorter item are one. With ``width``: each
+    window's words in any order within so many words. spans: word positions in the document, overlapping ones joined. A row
+    for each document with a match, or with ``everything`` for each document; repeated and null doc_ids are rows of their own.
     """
-    texts = pa.array([t for _, t in items], pa.string())
-    h, starts = word_hashes(*buffers(texts), WORD_BYTES)
-    of: dict[bytes, set[str]] = {}
-    for (item, _), a, b in zip(items, starts[:-1], starts[1:], strict=True):
-        for w in windows(h[a:b], size):
-            of.setdefault(w, set()).add(item)
-    by_size: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-    for k in {len(w) // 8 for w in of}:
-        mine = sorted(w for w in of if len(w) == 8 * k)
-        by_size[k] = (np.frombuffer(b"".join(mine), np.uint64).reshape(-1, k), [sorted(of[w]) for w in mine])
+    files = write_items(items, path or scratch(items.sparkSession, "items"))
     kind = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def answers(seg: Segment) -> tuple[dict[int, list], dict[int, set]]:
         spans: dict[int, list] = {}
         names: dict[int, set] = {}
-        for k, (table, owners) in by_size.items():
-            at, counts = seg.look_up(table)
-            for w in np.flatnonzero(counts.min(axis=1) > 0):
-                p = seg.phrase(at[w], counts[w]) if width is None else seg.near(at[w], counts[w], width)
-                if len(p):
-                    d = seg.document(p)
-                    for doc, s in zip(d.tolist(), (p - seg.starts[d]).tolist(), strict=True):
-                        spans.setdefault(doc, []).append((s, s + (k if width is None else width)))
-                        names.setdefault(doc, set()).update(owners[w])
+        for block in read_blocks(files, size):
+            at, counts = (x[block.of] for x in seg.look_up(block.words))
+            for k, (first, _) in block.groups.items():
+                least = counts[first]
+                for j in range(1, k):
+                    least = np.minimum(least, counts[first + j])
+                for w in np.flatnonzero(least > 0).tolist():
+                    own = slice(first[w], first[w] + k)
+                    p = seg.phrase(at[own], counts[own]) if width is None else seg.near(at[own], counts[own], width)
+                    if len(p):
+                        d = seg.document(p)
+                        for doc, s in zip(d.tolist(), (p - seg.starts[d]).tolist(), strict=True):
+                            spans.setdefault(doc, []).append((s, s + (k if width is None else width)))
+                            names.setdefault(doc, set()).update(block.names(k, w))
         return spans, names
 
     def join(found: list, most: int) -> list[dict]:
@@ -200,20 +259,11 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 13, share: int =
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans: a row for each document.
 
     A document is contaminated if it has a hit word and these are one in ``share`` or more of its words. Null texts have no
-    words; items without words match nothing; items with one id are one item; repeated documents are rows of their own,
-    unless the test set needs several blocks: then rows are joined by doc_id, and documents with one id count as one with
-    all their hits (their words as the most of them). No items: no hits. No documents: no rows.
+    words; items without words match nothing; items with one id are one item, those without an id are the item of the empty
+    id; repeated documents, and those with null ids, are rows of their own. No items: no hits. No documents: no rows. Columns
+    of docs but doc_id and text aren't read, so their names don't matter.
     """
-    spark = docs.sparkSession
-    index = build(docs, path or scratch(spark, "postings"))
-    found, n = None, 0
-    for block in _blocks(items):
-        one, n = search(index, block, size, everything=n == 0), n + 1
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = search(index, [], size, everything=True)
-    if n > 1:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    found = search(build(docs, path or scratch(docs.sparkSession, "postings")), items, size, everything=True)
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     hit = F.aggregate(F.array_sort("spans"), zero, lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.end - F.greatest(a.to, x.start))).alias("n"), F.greatest(a.to, x.end).alias("to"))).n
     out = found.withColumn("n_hit", F.when(F.size("spans") > 0, hit).otherwise(F.lit(0).cast("long")))

@@ -7,7 +7,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .common import buffers, mixed, powers
+from .common import LENGTH, buffers, mixed, powers
 
 #: Words that are encoded in one call; text bytes that are looked up together.
 BLOCK, GROUP = 256, 1 << 20
@@ -27,7 +27,7 @@ class Encoder:
 
     None of its pre-tokenizer's pieces crosses white space, and a full stop or comma between an ASCII letter or digit and
     white space is a piece of its own. So texts are cut there, A-Z are lowered, and a text's ids are its words' ids in a row.
-    A-Z stay where a text may hold combining marks, with which a letter in another case may compose differently.
+    A-Z stay where a text may hold combining marks, with which a letter in another case may compose differently, or an added token in any case.
     Words are looked up by 64-bit hash in a table of numpy arrays; only new ones go through the library.
     """
 
@@ -39,6 +39,8 @@ class Encoder:
         marks = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in ("\x01", "\x02")]
         #: A character with an id of its own, which stands between the words of a block.
         self.mark = marks[0][0] if len(marks[0]) == 1 and marks[0] != marks[1] else None
+        #: Added tokens as they read in lower case: the library finds them in texts as they are, before it lowers letters.
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content.encode().lower() != t.content.encode().upper()]
         self._clear()
 
     def _clear(self) -> None:
@@ -106,7 +108,9 @@ class Encoder:
         n = len(raw)
         if n == 0:
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
-        b = raw if ((raw == 0xCC) | (raw == 0xCD)).any() else _LOWER[raw]
+        b = _LOWER[raw]
+        if ((raw == 0xCC) | (raw == 0xCD)).any() or any(x in low for low in [b.tobytes()] for x in self.added):
+            b = raw
         word = ~_SPACE[b]
         first = np.zeros(n + 1, bool)  # a text begins
         first[offsets[:-1]] = True
@@ -122,7 +126,7 @@ class Encoder:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(b * up[:n], out=total[1:])
-        h = mixed((total[end] - total[begin]) * down[begin])
+        h = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * LENGTH)
         at = self._find(h)
         new = np.flatnonzero(at < 0)
         if len(new):

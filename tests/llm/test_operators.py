@@ -97,6 +97,12 @@ def test_decontamination(spark, docs, none, block, monkeypatch):
     want = brute.decontamination(list(enumerate(TEXTS)), ITEMS)
     got = by_id(decontam.contaminated(docs, items))
     assert {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == want
+    # Repeated and null ids are rows of their own, each with its own hits.
+    text = " ".join(brute.alnum_words(ITEMS[0][1])[:20])
+    rows = [(1, "plain words " * 9), (1, text), (None, "plain"), (None, text), (2, None)]
+    odd = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    each = lambda d, t: list(brute.decontamination([(0, t)], ITEMS).values())[0]
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in odd) == sorted((str(d), *each(d, t)[:3]) for d, t in rows)
     assert decontam.contaminated(none, items).count() == 0
     assert decontam.contaminated(docs, items.where("false")).agg(F.sum("n_hit")).first()[0] == 0
 
@@ -104,9 +110,10 @@ def test_decontamination(spark, docs, none, block, monkeypatch):
 def test_proximity(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red x x blue y green"), (2, "green blue red"), (3, "red blue"), (4, "red q q q q q blue green")], "doc_id long, text string")
     index = decontam.build(docs, str(tmp_path / "i"))
-    found = lambda width: sorted(r.doc_id for r in decontam.search(index, [("i", "red blue green")], 3, width=width).collect())
+    one = lambda text: spark.createDataFrame([("i", text)], "item_id string, text string")
+    found = lambda width: sorted(r.doc_id for r in decontam.search(index, one("red blue green"), 3, width=width).collect())
     assert found(3) == [2] and found(6) == [1, 2] and found(8) == [1, 2, 4]
-    assert [r.doc_id for r in decontam.search(index, [("i", "green blue")], 3).collect()] == [2]
+    assert [r.doc_id for r in decontam.search(index, one("green blue"), 3).collect()] == [2]
 
 
 def test_postings_of_alike_hashes():
