@@ -9,6 +9,8 @@ import brute
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from heronlake.llm.tokens import vocabulary
 
 RNG = random.Random(11)
@@ -25,6 +27,7 @@ def made(spark, tmp_path_factory):
     items = [(k, prose(ENGLISH, 25)) for k in range(4)]
     texts = [(prose(ENGLISH, 60), "en") for _ in range(25)] + [(prose(FRENCH, 60), "fr") for _ in range(25)]
     texts += [(texts[3][0], "en"), (texts[3][0] + " more", "en"), (texts[4][0].upper(), "en"), (None, "en"), ("", None), ("... 12 !", "fr"), (prose(ENGLISH, 30) + " " + items[0][1], "en")]
+    texts += [(prose(ENGLISH, 900) + " " + items[1][1] + " " + prose(ENGLISH, 900), "en")]  # a passage that is under a twentieth of its document
     texts += [(f"{prose(ENGLISH, 40)} a{k}.b@mail{k}.example.com and 10.0.0.{k} or +1 (555) 123-45{k:02d} {prose(ENGLISH, 5)}", None) for k in range(3)]
     rows = [(i, t, lang, f"s{i % 4}", len(t or "")) for i, (t, lang) in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{top}/documents.parquet")
@@ -49,11 +52,11 @@ def test_stages(spark, made):
     docs = step(1, docs)
     groups = brute.components(list(held.items()))
     held = {d: t for d, t in held.items() if groups[d][1] == d}
-    assert {r.doc_id: r.text for r in docs.collect()} == held and len(held) < 57
+    assert {r.doc_id: r.text for r in docs.collect()} == held and len(held) < 58
     docs = step(2, docs)
     bad = brute.decontamination(list(held.items()), items)
-    held = {d: t for d, t in held.items() if not bad[d][4]}
-    assert {r.doc_id: r.text for r in docs.collect()} == held and 56 not in held and len(held) > 45
+    held = {d: t for d, t in held.items() if not bad[d][1]}
+    assert {r.doc_id: r.text for r in docs.collect()} == held and 56 not in held and 57 not in held and not bad[57][4] and len(held) > 45
     docs = step(3, docs)
     got = {r.doc_id: r for r in docs.collect()}
     assert set(got) == set(held)
@@ -82,10 +85,19 @@ def test_run_agrees_with_stages(spark, made):
 
 
 def test_repeated_rows_and_no_rows(spark, made):
-    top, _, _ = made
+    top, rows, items = made
     docs = spark.read.parquet(f"{top}/documents.parquet")
     twice = docs.unionByName(docs)
     assert corpus_pipeline.STAGES[1][1](spark, twice, top).groupBy("doc_id").count().where("count > 1").count() == 0
+    # Null ids, and one id for different texts: each row is a document of its own.
+    texts = [(None, rows[0][1]), (None, rows[1][1]), (None, rows[1][1] + " more"), (7, rows[2][1]), (7, rows[3][1]), (8, rows[3][1]), (None, items[0][1] + " x"), (9, None), (9, "")]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], docs.schema)
+    left = sorted(((r.doc_id or 0), r.text or "") for r in corpus_pipeline.STAGES[1][1](spark, odd, top).collect())
+    assert len(left) == 7 and {(7, rows[2][1]), (7, rows[3][1]), (0, rows[0][1])} <= set(left) and (8, rows[3][1]) not in left
+    clean = corpus_pipeline.STAGES[2][1](spark, odd, top).collect()
+    assert len(clean) == 8 and all(items[0][1] not in (r.text or "") for r in clean)
+    bare = corpus_pipeline.STAGES[0][1](spark, odd.withColumn("lang", F.lit(None).cast("string")), top)
+    assert bare.count() == 7
     none = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, top).count() == 0
