@@ -24,7 +24,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     """node, root: the smallest node of each linked node's component, by alternating large and small stars.
 
     links: u, v. Each round's table is written to the shared folder. Minima are partial aggregates, so a node with very many
-    neighbours is no single task's; nodes without links aren't returned.
+    neighbours is no single task's; nodes without links aren't returned. Rounds grow with the logarithm of the longest path; a
+    table that still changes after ``most`` of them is an error.
     """
     now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     sums = None
@@ -34,5 +35,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if got == sums:
             break
         sums = got
+    else:
+        raise RuntimeError(f"components still change after {most} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -354,6 +354,49 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute.components(list(enumerate(texts)))
 
 
+def test_ngram_join_of_repeated_ids_and_any_layout(spark):
+    z = " ".join(f"z{k}" for k in range(60))
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(7, a), (7, b), (8, a + " z"), (9, b + " z"), (None, z), (None, z + " y"), (4, z + " x"), (None, None), (5, "a\0"), (6, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(7, 7), (7, 7), (8, 7), (9, 7), (None, 4), (None, 4), (4, 4), (None, None), (5, 5), (6, 6)], key=str)
+    for n in (1, 4, 60):
+        assert sorted(((r.doc_id, r.component_id) for r in ngram_join.similar(df.repartition(n)).collect()), key=str) == want
+
+
+def test_ngram_join_of_one_large_candidate_group(spark, monkeypatch):
+    """Texts that share most of a passage are candidates of each other, but few are similar; no group is one task's."""
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(90)]
+    texts = []
+    for k in range(60):
+        own = [f"o{k}x{j}" for j in range(25)]
+        texts.append(" ".join(passage[rng.randint(0, 3) :] + own))
+        if k % 3 == 0:
+            texts.append(texts[-1] + " more")
+    sizes = []
+    real = ngram_join._blocks
+
+    def watched(sets, percent):
+        sizes.extend(r[1] for r in sets.groupBy("block").agg(F.sum(F.octet_length("grams") / 8)).collect())
+        return real(sets, percent)
+
+    monkeypatch.setattr(ngram_join, "TASK", 2000)
+    monkeypatch.setattr(ngram_join, "_blocks", watched)
+    got = by_id(ngram_join.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute.components(list(enumerate(texts)))
+    assert max(sizes) < 2 * 2000 and len(sizes) > 8
+
+
+def test_components_that_do_not_end(spark):
+    from heronlake.llm import graph
+
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    assert {r.root for r in graph.components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.components(path, 1)
+
+
 def test_trie_join_at_random():
     rng = np.random.default_rng(1)
     for _ in range(60):
