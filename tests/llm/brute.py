@@ -62,6 +62,42 @@ def personal(text):
     return out
 
 
+def revealing(texts, smooth, disclosure, chars=120, near=6):
+    """{place of a text: {"term:start:end"}} of words near mentions of emails alone, scored over all texts."""
+    import math
+
+    term = re.compile(r"[^\W_]{3,}")
+    known, of_term, both, places = defaultdict(set), defaultdict(set), defaultdict(set), []
+    for d, t in enumerate(texts):
+        t = t or ""
+        for w in term.findall(t.lower()):
+            of_term[w].add(d)
+        spans = [(a, b) for _, a, b in personal(t)]
+        for a, b in spans:
+            value = t[a:b].lower()
+            entities = [("v", value), ("g", value.partition("@")[2])]
+            left, right = max(0, a - chars), min(len(t), b + chars)
+            before = [(m.start() + left, m.end() + left) for m in term.finditer(t[left:a])][-near:]
+            after = [(m.start() + b, m.end() + b) for m in term.finditer(t[b:right])][:near]
+            before = [x for x in before if x[0] > left or left == 0]
+            after = [x for x in after if x[1] < right or right == len(t)]
+            for x, y in before + after:
+                if not any(x < q and p < y for p, q in spans):
+                    for e in entities:
+                        both[e, t[x:y].lower()].add(d)
+                        places.append((d, x, y, e))
+            for e in entities:
+                known[e].add(d)
+    n, out = len(texts), {d: set() for d in range(len(texts))}
+    for d, x, y, e in places:
+        w = texts[d][x:y].lower()
+        p = len(known[e]) / n
+        given = (len(both[e, w]) + smooth * p) / (len(of_term[w]) + smooth)
+        if p < 1 and math.log2(given / p) >= disclosure * -math.log2(p):
+            out[d].add(f"term:{x}:{y}")
+    return out
+
+
 def quality(text):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)"""
     text = text or ""

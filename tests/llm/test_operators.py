@@ -165,10 +165,54 @@ def test_revealing_terms(spark):
     assert by_id(pii.sanitise(docs, general={"zorblatt": "person"}))[0].text.split()[3] == "person"
 
 
+def test_disclosure_against_plain_counts(spark):
+    """Every term's pointwise mutual information, and so every term span, as counted by hand over all documents."""
+    rng = random.Random(12)
+    words = [f"w{'abcdefghij'[k]}x" for k in range(10)] + [f"rare{k}" for k in range(30)]
+    texts = []
+    for i in range(60):
+        w = [rng.choice(words[:10]) if rng.random() < 0.8 else rng.choice(words) for _ in range(30)]
+        if i % 4 == 0:
+            w.insert(15, f"u{i % 12}@site{i % 3}.example.org")
+            w.insert(14, f"person{i % 12}")
+        if i % 8 == 0:
+            w.insert(9, f"place{i % 3}")
+        texts.append(" ".join(w))
+    texts += [None, "", "no mention at all"]
+    got = by_id(pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    want = brute.revealing(texts, pii.SMOOTH, pii.DISCLOSURE)
+    assert {i: {s for s in r.spans.split(",") if s.startswith("term")} for i, r in got.items()} == want
+    assert sum(map(len, want.values())) > 10
+
+
+def test_general_words(spark):
+    rows = [(1, "met Zorblatt7 Quennevault at a@b.cc on 19731122 with zzyzx"), *[(k, f"plain text {k}") for k in range(2, 70)]]
+    clean = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert clean[1].text == "[TERM] [CODE] [NAME] at [EMAIL] on [8 digits] [TERM] [TERM]" and clean[2].text == rows[1][1]
+
+
+def test_long_texts_are_rewritten_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(pii, "STRETCH", 7)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["é", "x", " ", "1.2.3.4", "a@b.cc", "😀", "\n", "+1 555 123 4567"]) for _ in range(40)) for _ in range(40)]
+    got = by_id(pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), disclosure=99.0))
+    for i, t in enumerate(texts):
+        want, at = "", 0
+        for kind, a, b in sorted(brute.personal(t), key=lambda x: (x[1], pii.KINDS.index(x[0]))):
+            if a >= at:
+                want += t[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        assert got[i].text == want + t[at:]
+
+
 def test_sanitised_ids(spark):
     rows = [(None, "mail a@b.cc now"), (None, "call +1 555 123 4567"), (7, "x@y.zz"), (7, "clean"), (8, None), (9, "x@y.zz")]
-    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_spans_", F.lit(1))).collect()
-    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "call [PHONE]"), (0, "mail [EMAIL] now"), (7, "[EMAIL]"), (7, "clean"), (8, ""), (9, "[EMAIL]")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("key", "id", "spans", "doc", "new", "_row", "word"):
+        df = df.withColumn(c, F.lit(c))
+    got = pii.sanitise(df, disclosure=99.0)
+    assert got.columns == df.columns and {r.spans + r.key for r in got.collect()} == {"spanskey"}
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "call [PHONE]"), (0, "mail [EMAIL] now"), (7, "[EMAIL]"), (7, "clean"), (8, ""), (9, "[EMAIL]")]
 
 
 def test_packing(spark, docs, none):
