@@ -16,6 +16,8 @@ RULES = {
     "dup_lines": "10 * n_dup_lines > 3 * n_lines",
     "odd_words": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
 }
+#: Standard deviations of a host's own rate that it gets the benefit of; share of documents under which no host fails.
+SURE, LEAST = 2.0, 0.3
 #: Hosts by name up to so many are broadcast; more are joined by salted key.
 FEW_HOSTS, SALTS = 100_000, 32
 
@@ -74,40 +76,57 @@ def counted(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def host_rates(features: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
-    """host, n_docs, and for each rule the shrunk rate of documents that fail it: (failures + a) / (documents + a + b).
+def prior(hosts: int, n: int, squares: float, failed: float, spread: float) -> tuple[float, float]:
+    """(mean, overdispersion) of a beta-binomial fitted by moments: 0 where hosts differ no more than chance lets them.
 
-    a and b are the moments' fit of a beta distribution to the hosts' own rates, each host weighted by its documents;
-    where hosts don't differ, or none or all fail, the prior has the common rate and the weight of a host of mean size.
+    hosts and documents, the sum of n_h ** 2, of f_h (documents that fail) and of f_h ** 2 / n_h. The overdispersion rho of
+    beta(a, b) is 1 / (a + b + 1); binomial noise alone is taken out: E[sum n_h (f_h / n_h - mean) ** 2] =
+    mean (1 - mean) (hosts - 1 + rho (n - squares / n - hosts + 1)).
+    """
+    mean = failed / n if n else 0.0
+    room, noise = mean * (1 - mean), n - squares / n - (hosts - 1) if n else 0.0
+    if room <= 0 or noise <= 0:
+        return mean, 0.0
+    return mean, min(1.0, max(0.0, ((spread - failed * failed / n) / room - (hosts - 1)) / noise))
+
+
+def host_rates(features: DataFrame, rules: dict[str, str] = RULES, sure: float = SURE, least: float = LEAST) -> DataFrame:
+    """host, n_docs, and for each rule the shrunk rate of documents that fail it, and whether the host fails it.
+
+    A host's rate has the posterior beta(a + f, b + n - f) under the prior fitted to all hosts: its mean is the shrunk rate,
+    nearer to the common one the fewer documents the host has and the less hosts differ. The host fails where its rate, less
+    ``sure`` standard deviations of the posterior, is over the prior's mean and one standard deviation of the prior, and no
+    less than ``least`` of its documents fail. Where hosts are alike, all have the common rate and none fails.
     """
     fails = [F.sum(F.expr(f"cast({rule} as int)")).alias(f"f_{k}") for k, rule in rules.items()]
     hosts = cut(features.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *fails))
-    sums = [F.sum("n_docs").alias("n"), F.count(F.lit(1)).alias("hosts")]
+    sums = [F.sum("n_docs").alias("n"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("squares")]
     for k in rules:
         sums += [F.sum(f"f_{k}").alias(f"s_{k}"), F.sum(F.col(f"f_{k}") * F.col(f"f_{k}") / F.col("n_docs")).alias(f"q_{k}")]
     got = hosts.agg(*sums).first()
     out = [F.col("host"), F.col("n_docs")]
     for k in rules:
-        n = float(got["n"] or 1)
-        mean = float(got[f"s_{k}"] or 0) / n
-        spread = max(0.0, float(got[f"q_{k}"] or 0) / n - mean * mean)
-        typical = n / max(1, got["hosts"])
-        weight = mean * (1 - mean) / spread - 1 if spread > 1e-12 else typical
-        weight = min(max(weight, 1.0), max(typical, 1.0))
-        out.append(((F.col(f"f_{k}") + mean * weight) / (F.col("n_docs") + weight)).alias(f"rate_{k}"))
+        mean, rho = prior(got["hosts"], got["n"] or 0, got["squares"] or 0.0, float(got[f"s_{k}"] or 0), float(got[f"q_{k}"] or 0))
+        rate = (rho * F.col(f"f_{k}") + mean * (1 - rho)) / (rho * F.col("n_docs") + (1 - rho))
+        doubt = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) * rho / (rho * F.col("n_docs") + 1))
+        usual = mean + (mean * (1 - mean) * rho) ** 0.5
+        out += [rate.alias(f"rate_{k}"), ((rate - sure * doubt > usual) & (rate >= least)).alias(f"fails_{k}")]
     return hosts.select(*out)
 
 
-def judge(docs: DataFrame, host: str = "source", limit: float = 0.75, rules: dict[str, str] = RULES) -> DataFrame:
-    """The counts, base_failed, host_failed, the host's worst shrunk rate, and kept.
+def judge(docs: DataFrame, host: str = "source", rules: dict[str, str] = RULES, sure: float = SURE, least: float = LEAST) -> DataFrame:
+    """The counts, base_failed, kept, host_failed and host_rate, the host's worst shrunk rate: a row for each document.
 
-    A host fails if the shrunk rate of one rule is over the limit; documents without a host (null) have only their own rules.
-    Host verdicts are joined back by broadcast when there are FEW_HOSTS at most, else by host and salt, so that a host with
-    a third of the rows is spread over SALTS groups.
+    A host fails if it fails one rule (``host_rates``), and all its documents with it; documents without a host (null) have only
+    their own rules, and no rate. Host verdicts are joined back by broadcast when there are FEW_HOSTS at most, else by host and
+    salt, so that a host with a third of the rows is spread over SALTS groups. Null text counts as empty; equal and repeated
+    rows count each for itself; other columns aren't read; no rows give no rows.
     """
     features = cut(counted(docs, host))
-    rates = host_rates(features.where("host is not null"), rules)
-    verdict = cut(rates.select(F.col("host").alias("_h"), F.greatest(*[F.col(f"rate_{k}") for k in rules], F.lit(0.0)).alias("host_rate")))
+    rates = host_rates(features.where("host is not null"), rules, sure, least)
+    worst = F.array_max(F.array(*[F.col(f"rate_{k}") for k in rules], F.lit(0.0)))
+    any_ = F.array_contains(F.array(*[F.col(f"fails_{k}") for k in rules], F.lit(False)), True)
+    verdict = cut(rates.select(F.col("host").alias("_h"), worst.alias("host_rate"), any_.alias("_failed")))
     if verdict.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
         joined = features.join(F.broadcast(verdict), F.col("host") == F.col("_h"), "left")
     else:
@@ -115,8 +134,8 @@ def judge(docs: DataFrame, host: str = "source", limit: float = 0.75, rules: dic
         copies = verdict.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(copies, (F.col("host") == F.col("_h")) & (F.col("_s") == F.col("_z")), "left")
     base = F.expr(f"({RULES['short']}) or ({RULES['repeated']})")
-    failed = F.coalesce(F.col("host_rate") > limit, F.lit(False))
+    failed = F.coalesce("_failed", F.lit(False))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & ~failed).alias("kept"), failed.alias("host_failed"),
+        base.alias("base_failed"), (~base & ~failed).alias("kept"), failed.alias("host_failed"), "host_rate",
     )

@@ -40,7 +40,7 @@ def op7_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +89,10 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)"""
 def _op6() -> str:
     rules = quality.RULES
     fails = ", ".join(f"count(*) FILTER ({r})::DOUBLE AS f_{k}" for k, r in rules.items())
-    means = ", ".join(f"sum(f_{k}) / sum(n) AS m_{k}, greatest(0, sum(f_{k} * f_{k} / n) / sum(n) - (sum(f_{k}) / sum(n)) ** 2) AS v_{k}" for k in rules)
-    weights = ", ".join(f"least(greatest(CASE WHEN v_{k} > 1e-12 THEN m_{k} * (1 - m_{k}) / v_{k} - 1 ELSE typical END, 1), greatest(typical, 1)) AS w_{k}" for k in rules)
-    rate = ", ".join(f"(f_{k} + m_{k} * w_{k}) / (n + w_{k})" for k in rules)
+    means = ", ".join(f"sum(f_{k}) / sum(n) AS m_{k}, sum(f_{k} * f_{k} / n) - sum(f_{k}) * sum(f_{k}) / sum(n) AS v_{k}" for k in rules)
+    rhos = ", ".join(f"CASE WHEN m_{k} * (1 - m_{k}) > 0 AND noise > 0 THEN least(1, greatest(0, (v_{k} / (m_{k} * (1 - m_{k})) - (hosts - 1)) / noise)) ELSE 0 END::DOUBLE AS o_{k}" for k in rules)
+    rate = ", ".join(f"(o_{k} * f_{k} + m_{k} * (1 - o_{k})) / (o_{k} * n + 1 - o_{k}) AS r_{k}" for k in rules)
+    failed = " OR ".join(f"(r_{k} - {quality.SURE} * sqrt(greatest(r_{k} * (1 - r_{k}), 0) * o_{k} / (o_{k} * n + 1)) > m_{k} + sqrt(m_{k} * (1 - m_{k}) * o_{k}) AND r_{k} >= {quality.LEAST})" for k in rules)
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_SPACED.format("coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 6, 1))) u(i)),
@@ -99,10 +100,11 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, i,
 c AS (SELECT d.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
       len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
 h AS (SELECT source, count(*)::DOUBLE AS n, {fails} FROM c WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT {means}, sum(n) / count(*) AS typical FROM h), k AS (SELECT *, {weights} FROM m),
-v AS (SELECT source, greatest({rate}, 0) > 0.75 AS host_failed FROM h, k)
+m AS (SELECT {means}, count(*)::DOUBLE AS hosts, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS noise FROM h), k AS (SELECT *, {rhos} FROM m),
+q AS (SELECT *, {rate} FROM h, k),
+v AS (SELECT source, greatest({", ".join(f"r_{k}" for k in rules)}, 0) AS host_rate, {failed} AS host_failed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(host_failed, false) AS kept, coalesce(host_failed, false) AS host_failed
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(host_failed, false) AS kept, coalesce(host_failed, false) AS host_failed, round(host_rate, 6) AS host_rate
 FROM c LEFT JOIN v USING (source)"""
 
 

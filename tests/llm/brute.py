@@ -115,6 +115,36 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(cover)
 
 
+def hosts(rows, sure, least):
+    """rows: (doc_id, text, host) -> {doc_id: (host_failed, host_rate)}"""
+    count, fails = Counter(), defaultdict(Counter)
+    for _, text, host in rows:
+        if host is not None:
+            w, chars, symbols, dup, repeat = quality(text)
+            lines = sum(bool(SPACED.search(x)) for x in (text or "").split("\n"))
+            found = {"short": w < 20, "repeated": 100 * repeat > 30 * w, "symbols": 10 * symbols > w, "dup": 10 * dup > 3 * lines, "odd": w > 0 and (chars < 2 * w or chars > 15 * w)}
+            count[host] += 1
+            for k, v in found.items():
+                fails[k][host] += v
+    n, verdict = sum(count.values()), {h: (False, 0.0) for h in count}
+    for f in fails.values():
+        p = sum(f.values()) / n
+        seen = sum(count[h] * (f[h] / count[h] - p) ** 2 for h in count)
+        noise = n - sum(c * c for c in count.values()) / n - (len(count) - 1)
+        rho = min(1, max(0, (seen / (p * (1 - p)) - (len(count) - 1)) / noise)) if 0 < p < 1 and noise > 0 else 0
+        for h, c in count.items():
+            if rho == 0:
+                rate, failed = p, False
+            else:
+                weight = 1 / rho - 1
+                a, b = p * weight + f[h], (1 - p) * weight + c - f[h]
+                rate = a / (a + b)
+                doubt = (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+                failed = rate - sure * doubt > p + (p * (1 - p) * rho) ** 0.5 and rate >= least
+            verdict[h] = (verdict[h][0] or failed, max(verdict[h][1], round(rate, 9)))
+    return {d: verdict.get(h, (False, None)) for d, _, h in rows}
+
+
 def snapshots(rows):
     """rows: (conv_id, turn, role, text) -> {conv_id: (n_turns, copies, rendered)}"""
     key = lambda x: (x is not None, x or 0)

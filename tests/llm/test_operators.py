@@ -320,14 +320,32 @@ def test_windows_of_any_size(spark, window):
 
 def test_host_verdicts(spark, monkeypatch):
     good, bad = "word " * 3 + " ".join(f"w{k}" for k in range(30)), "too short"
-    rows = [(i, good, "fine") for i in range(50)] + [(100 + i, bad, "spam") for i in range(50)] + [(200, good, "spam"), (201, bad, "tiny"), (202, good, "tiny2"), (203, good, None)]
+    rows = [(i, good, f"fine{i % 8}") for i in range(160)] + [(400 + i, bad, "spam") for i in range(50)] + [(200, good, "spam"), (201, bad, "tiny"), (202, good, "tiny2"), (203, good, None), (204, None, None), (205, bad, "fine1")]
+    rows += [(500 + i, bad if i % 3 else good, "half") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for few in (quality.FEW_HOSTS, 0):  # by broadcast and by salt
         monkeypatch.setattr(quality, "FEW_HOSTS", few)
-        got = by_id(quality.judge(docs, limit=0.75))
+        got = by_id(quality.judge(docs))
         assert not got[200].kept and got[200].host_failed and not got[200].base_failed
         assert got[0].kept and got[203].kept and got[202].kept and len(got) == len(rows)
         assert not got[201].host_failed  # one document is too little to condemn a host
+        assert {d: (r.host_failed, r.host_rate and round(r.host_rate, 9)) for d, r in got.items()} == brute.hosts(rows, quality.SURE, quality.LEAST)
+    alike = [(i, bad if i % 5 == 0 else good, f"h{i // 20}") for i in range(200)]  # one in five of every host
+    got = by_id(quality.judge(spark.createDataFrame(alike, "doc_id long, text string, source string")))
+    assert not any(r.host_failed for r in got.values()) and {r.host_rate for r in got.values()} == {0.2}
+
+
+def test_prior_of_hosts():
+    """Rates drawn from a known beta distribution are fitted; binomial noise alone is no difference between hosts."""
+    rng = np.random.default_rng(4)
+    for a, b in ((2.0, 18.0), (1.0, 1.0), (30.0, 70.0)):
+        n = rng.integers(5, 200, 4000)
+        f = rng.binomial(n, rng.beta(a, b, 4000))
+        mean, rho = quality.prior(4000, int(n.sum()), float((n * n).sum()), float(f.sum()), float((f * f / n).sum()))
+        assert abs(mean - a / (a + b)) < 0.02 and abs(rho - 1 / (a + b + 1)) < 0.02
+    f = rng.binomial(n, 0.1)
+    assert quality.prior(4000, int(n.sum()), float((n * n).sum()), float(f.sum()), float((f * f / n).sum()))[1] < 0.002
+    assert quality.prior(0, 0, 0.0, 0.0, 0.0) == (0.0, 0.0) and quality.prior(1, 5, 25.0, 2.0, 0.8)[1] == 0
 
 
 def test_plane_files(spark, docs, none, tmp_path):
