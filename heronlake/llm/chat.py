@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .common import cut
 
 #: Turns are numbered in stretches of so many turn values, so that one very long conversation is no single task.
 STRETCH = 256
+#: The stretch of turns without a number, which come before all others.
+FIRST = -(1 << 62)
 
 
 def _by_part(frame: DataFrame, *aggs) -> DataFrame:
@@ -25,7 +29,7 @@ def numbered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> tup
     Turns are in order of turn (null first), ties of role, then text; k counts within a stretch. This is the one step that moves texts.
     """
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), "role", "text")
-    rows = rows.withColumn("part", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / STRETCH).cast("long"))
+    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / STRETCH).cast("long"), F.lit(FIRST)))
     inner = Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     said = {"x": F.xxhash64(F.lit(1), "role", F.lit(2), "text"), "y": F.xxhash64(F.lit(7), "text", F.lit(8), "role")}
     rows = cut(rows.withColumn("k", F.row_number().over(inner)).withColumns(said).drop("turn"))
@@ -61,16 +65,28 @@ def maximal(turns: DataFrame) -> DataFrame:
     return whole.join(shorter, ["n", "a", "b"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "copies")
 
 
+def escaped(text, mark: str):
+    """text in which each ``mark`` has one more backslash after its first character, so that none is left and the text can be had back."""
+    if len(mark) < 2:
+        raise ValueError("a mark of one character can't be escaped")
+    first, rest = re.escape(mark[0]), re.escape(mark[1:])
+    back = lambda x: x.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"{first}(\\\\*){rest}", f"{back(mark[0])}$1\\\\{back(mark[1:])}")
+
+
 def collapse(conversations: DataFrame, opening: str = "<|", closing: str = "|>\n", ending: str = "\n") -> DataFrame:
     """conv_id, n_turns, copies, rendered: each maximal conversation once, its turns as opening + role + closing + text + ending.
 
-    A null role or text is rendered as empty. A conversation becomes one string, so its turns meet in one task; no rows give no rows.
-    A null conv_id is a conversation like any other.
+    What reads as ``opening`` in a text or role, or as ``closing`` in a role, gets a backslash after its first character, and one more
+    where there are some, so no text forges a turn. A null role or text is rendered as empty. A conversation becomes one string, so
+    its turns meet in one task; no rows give no rows. A null conv_id is a conversation like any other; equal turns are turns of their
+    own; other columns aren't read.
     """
     rows, sizes = numbered(conversations)
     kept = cut(maximal(cut(prefixes(rows, sizes))).withColumnRenamed("conv_id", "kept_id"))
     placed = _back(rows.select("conv_id", "part", "k", "role", "text"), sizes).withColumn("pos", F.col("before") + F.col("k"))
     joined = placed.select("conv_id", "pos", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
-    said = F.concat(F.lit(opening), F.coalesce("role", F.lit("")), F.lit(closing), F.coalesce("text", F.lit("")), F.lit(ending))
+    role = escaped(escaped(F.col("role"), opening), closing)
+    said = F.concat(F.lit(opening), role, F.lit(closing), escaped(F.col("text"), opening), F.lit(ending))
     lists = joined.groupBy("conv_id", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("all"))
     return lists.select("conv_id", "n_turns", "copies", F.concat_ws("", F.transform("all", lambda x: x.said)).alias("rendered"))

@@ -113,7 +113,7 @@ WITH t AS (SELECT conv_id, list({'r': role, 'x': text} ORDER BY turn NULLS FIRST
 u AS (SELECT l, min(conv_id) AS conv_id, count(*) AS copies FROM t GROUP BY l),
 p AS (SELECT DISTINCT l[1:i] AS l FROM u, unnest(range(1, len(l))) x(i)),
 k AS (SELECT * FROM u WHERE l NOT IN (SELECT l FROM p)),
-s AS (SELECT conv_id, len(l) AS n_turns, copies, array_to_string(list_transform(l, lambda y: '<|' || coalesce(y.r, '') || '|>' || chr(10) || coalesce(y.x, '') || chr(10)), '') AS rendered FROM k)
+s AS (SELECT conv_id, len(l) AS n_turns, copies, array_to_string(list_transform(l, lambda y: '<|' || regexp_replace(regexp_replace(coalesce(y.r, ''), '<(\\\\*)\\|', '<\\1\\\\|', 'g'), '\\|(\\\\*)>\\n', '|\\1\\\\>' || chr(10), 'g') || '|>' || chr(10) || regexp_replace(coalesce(y.x, ''), '<(\\\\*)\\|', '<\\1\\\\|', 'g') || chr(10)), '') AS rendered FROM k)
 SELECT *, sha256(rendered) AS rendered_sha256 FROM s"""
 
 _OP9 = f"""

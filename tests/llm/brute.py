@@ -145,6 +145,14 @@ def hosts(rows, sure, least):
     return {d: verdict.get(h, (False, None)) for d, _, h in rows}
 
 
+def safe(x):
+    return re.sub(r"<(\\*)\|", r"<\1\\|", x)
+
+
+def safe_role(x):
+    return re.sub(r"\|(\\*)>\n", "|\\1\\\\>\n", safe(x))
+
+
 def snapshots(rows):
     """rows: (conv_id, turn, role, text) -> {conv_id: (n_turns, copies, rendered)}"""
     key = lambda x: (x is not None, x or 0)
@@ -157,7 +165,7 @@ def snapshots(rows):
     for c, v in lists.items():
         copies[v].append(c)
     shorter = {v[:k] for v in copies for k in range(1, len(v))}
-    return {min(c for c in ids if c is not None) if any(c is not None for c in ids) else None: (len(v), len(ids), "".join(f"<|{r or ''}|>\n{x or ''}\n" for r, x in v)) for v, ids in copies.items() if v not in shorter}
+    return {min(c for c in ids if c is not None) if any(c is not None for c in ids) else None: (len(v), len(ids), "".join(f"<|{safe_role(r or '')}|>\n{safe(x or '')}\n" for r, x in v)) for v, ids in copies.items() if v not in shorter}
 
 
 def license_base(text):
