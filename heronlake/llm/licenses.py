@@ -86,11 +86,82 @@ OTHERS = [
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use", 4, 0.8),
     ("license-file", "see" + _SP + "(?:the" + _SP + ")?licen[sc]e" + _SP + "(?:file|for details)", "licen", 1, 0.2),
 ]
+_WHO = "[A-Za-z0-9\\x20,.&'-]{1,80}"
+#: Sentences of whole license texts, notices and addresses, each with two words that it can't match without. A space stands for white space and comment marks.
+SIGNATURES = [
+    ("apache-2.0", "licensed under the apache license, version 2\\.0 \\(the [\"'\u201c]license[\"'\u201d]\\); you may not use this file except in compliance with the license", "licen", "apache", 5, 1.0),
+    ("apache-2.0", "apache license version 2\\.0, january 2004", "licen", "apache", 5, 1.0),
+    ("apache-2.0", "terms and conditions for use, reproduction, and distribution", "distribution", "reproduction", 4, 0.6),
+    ("apache-2.0", "apache\\.org/licenses/license-2\\.0", "licen", "apache", 5, 0.95),
+    ("apache-2.0", "opensource\\.org/licenses?/apache-2\\.0", "licen", "opensource", 5, 0.95),
+    ("gpl-3.0", "either version 3 of the license, or \\(at your option\\) any later version", "licen", "option", 3, 0.6),
+    ("gpl-2.0", "either version 2 of the license, or \\(at your option\\) any later version", "licen", "option", 3, 0.6),
+    ("gpl", "this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu general public license", "licen", "redistribute", 5, 0.95),
+    ("gpl", "you should have received a copy of the gnu general public license along with this (?:program|file|software)", "licen", "received", 5, 0.9),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed", "licen", "verbatim", 4, 0.8),
+    ("gpl", "gnu\\.org/(?:licenses|copyleft)/gpl", "gnu", "gpl", 4, 0.9),
+    ("gpl-2.0", "gnu\\.org/(?:licenses|copyleft)/(?:old-licenses/)?gpl-2\\.0", "gnu", "gpl-2", 5, 0.95),
+    ("gpl-3.0", "gnu\\.org/(?:licenses|copyleft)/gpl-3\\.0", "gnu", "gpl-3", 5, 0.95),
+    ("gpl-2.0", "gnu general public license version 2, june 1991", "licen", "1991", 5, 1.0),
+    ("gpl-3.0", "gnu general public license version 3, 29 june 2007", "licen", "2007", 5, 1.0),
+    ("lgpl", "this library is free software[:;] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license", "licen", "redistribute", 5, 0.95),
+    ("lgpl", "gnu\\.org/(?:licenses|copyleft)/(?:old-licenses/)?lgpl", "gnu", "lgpl", 5, 0.9),
+    ("lgpl-2.1", "gnu lesser general public license version 2\\.1, february 1999", "licen", "1999", 5, 1.0),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation, either version 3", "licen", "affero", 5, 1.0),
+    ("agpl", "gnu\\.org/licenses/agpl", "gnu", "agpl", 5, 0.9),
+    ("fdl", "permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license", "licen", "document", 5, 1.0),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license, v\\.\\x20?2\\.0", "licen", "mozilla", 5, 1.0),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1\\.1", "licen", "mozilla", 5, 1.0),
+    ("mpl-2.0", "mozilla\\.org/(?:en-us/)?mpl/2\\.0", "mozilla", "mpl", 5, 0.95),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "licen", "eclipse", 5, 0.95),
+    ("epl-2.0", "eclipse\\.org/legal/epl-(?:2\\.0|v20)", "eclipse", "epl", 5, 0.95),
+    ("epl-1.0", "eclipse\\.org/legal/epl-v10", "eclipse", "epl", 5, 0.95),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "licen", "development", 5, 1.0),
+    ("mit", "to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge", "software", "restriction", 5, 0.95),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "software", "substantial", 4, 0.9),
+    ("mit", "opensource\\.org/licenses?/mit(?![a-z])", "licen", "opensource", 5, 0.95),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistribution", "retain", 4, 0.8),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistribution", "reproduce", 4, 0.8),
+    ("bsd-3-clause", "neither the names? of " + _WHO + " nor the names of (?:its|any|the|other) contributors may be used to endorse or promote products derived from this software", "software", "endorse", 5, 0.95),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "software", "advertising", 5, 1.0),
+    ("bsd-2-clause", "opensource\\.org/licenses?/bsd-2-clause", "licen", "opensource", 5, 0.95),
+    ("bsd-3-clause", "opensource\\.org/licenses?/bsd-3-clause", "licen", "opensource", 5, 0.95),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", "permission", "appear", 3, 0.6),
+    ("zlib", "this software is provided [\"'\u2018\u201c]as-is[\"'\u2019\u201d], without any express or implied warranty", "software", "as-is", 4, 0.8),
+    ("zlib", "altered source versions must be plainly marked as such", "source", "plainly", 5, 0.95),
+    ("zlib", "the origin of this software must not be misrepresented", "software", "misrepresented", 5, 0.95),
+    ("boost", "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", "permission", "organization", 5, 1.0),
+    ("boost", "boost\\.org/license_1_0\\.txt", "licen", "boost", 5, 0.95),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "software", "unencumbered", 5, 1.0),
+    ("unlicense", "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "software", "compile", 5, 0.95),
+    ("unlicense", "unlicense\\.org", "licen", "unlicense", 4, 0.9),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document", "licen", "verbatim", 5, 1.0),
+    ("python", "psf license agreement for python", "licen", "python", 5, 1.0),
+    ("ruby", "you (?:can|may) redistribute it and/or modify it under either the terms of the (?:gpl|2-clause bsdl)", "redistribute", "either", 5, 0.95),
+    ("php", "redistributions of any form whatsoever must retain the following acknowledgment", "redistribution", "whatsoever", 5, 0.8),
+    ("openssl", "this product includes software developed by the openssl project", "software", "openssl", 5, 0.95),
+    ("postgresql", "permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee", "permission", "documentation", 5, 0.9),
+    ("ofl", "this font software is licensed under the sil open font license", "licen", "font", 5, 1.0),
+    ("ofl", "scripts\\.sil\\.org/ofl", "ofl", "scripts", 5, 0.95),
+    ("artistic", "you may make and give away verbatim copies of the source form of the standard version", "source", "verbatim", 5, 0.9),
+    ("cc0", "to the extent possible under law, " + _WHO + " has waived all copyright and related or neighboring rights", "copyright", "waived", 5, 1.0),
+    ("cc0", "creativecommons\\.org/publicdomain/zero/1\\.0", "creativecommons", "zero", 5, 0.95),
+    ("cc-by", "creativecommons\\.org/licenses/by/[1-4]\\.[05]", "creativecommons", "/by/", 5, 0.95),
+    ("cc-by-sa", "creativecommons\\.org/licenses/by-sa/[1-4]\\.[05]", "creativecommons", "/by-sa/", 5, 0.95),
+    ("cc-by-nd", "creativecommons\\.org/licenses/by-nd/[1-4]\\.[05]", "creativecommons", "/by-nd/", 5, 0.95),
+    ("cc-by-nc", "creativecommons\\.org/licenses/by-nc/[1-4]\\.[05]", "creativecommons", "/by-nc/", 5, 0.95),
+    ("cc-by-nc-sa", "creativecommons\\.org/licenses/by-nc-sa/[1-4]\\.[05]", "creativecommons", "/by-nc-sa/", 5, 0.95),
+    ("cc-by-nc-nd", "creativecommons\\.org/licenses/by-nc-nd/[1-4]\\.[05]", "creativecommons", "/by-nc-nd/", 5, 0.95),
+    ("odbl", "opendatacommons\\.org/licenses/odbl", "licen", "odbl", 5, 0.95),
+    ("ogl", "nationalarchives\\.gov\\.uk/doc/open-government-licence", "licen", "nationalarchives", 5, 0.95),
+    ("proprietary", "this (?:software|document|file) is (?:the )?confidential and proprietary information of", "proprietary", "confidential", 5, 0.9),
+    ("proprietary", "unauthori[sz]ed (?:copying|reproduction|distribution|use) of this (?:file|software|document)", "unauthori", "unauthori", 4, 0.8),
+]
 LEVELS = 6
 
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
-    """(label, regex, word, keywords, priority, confidence): every form for every name, and the others.
+    """(label, regex, word, keywords, priority, confidence): every form for every name, the others, and the signatures.
 
     The regex matches only texts that hold, in any case, the word and one of the keywords.
     """
@@ -98,7 +169,8 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
     for label, name, spdx, keyword in NAMES:
         for form, word, priority, confidence in FORMS:
             out.append((label, "(?i)" + form % (spdx if priority == LEVELS else name), word, word if priority == LEVELS else keyword, priority, confidence))
-    return out + [(label, "(?i)" + regex, keyword, keyword, priority, confidence) for label, regex, keyword, priority, confidence in OTHERS]
+    out += [(label, "(?i)" + regex, keyword, keyword, priority, confidence) for label, regex, keyword, priority, confidence in OTHERS]
+    return out + [(label, "(?i)" + regex.replace(" ", _SP), *rest) for label, regex, *rest in SIGNATURES]
 
 
 def _to_run(text):

@@ -104,7 +104,7 @@ def test_names_without_the_word_license(spark):
 
 def test_forms_and_names(spark):
     rng = random.Random(7)
-    texts = [f"é中 {x}; {y}" for r in licenses.rules()[: -len(licenses.OTHERS)] for x, y in [rng.choices(samples(r, 8, rng) or [""], k=2)]]
+    texts = [f"é中 {x}; {y}" for r in licenses.rules() for x, y in [rng.choices(samples(r, 8, rng) or [""], k=2)]]
     checked(spark, [None, "", "under the weather", *texts])
 
 
@@ -116,6 +116,16 @@ def test_whole_notices(spark):
     assert not any("license" in t.lower() for t in (BSD, ISC, short))
 
 
+def test_texts_in_full(spark):
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License."
+    gpl = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    boost = "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation"
+    free = "This is free and unencumbered software released into the public domain."
+    texts = [apache, gpl, boost, free, "https://creativecommons.org/licenses/by-sa/4.0/"]
+    got = checked(spark, texts)
+    assert [got[t] for t in texts] == ["apache,apache-2.0", "gpl,gpl-3.0", "boost", "unlicense", "cc-by-sa"]
+
+
 def test_words_are_implied_by_each_regex():
     rng = random.Random(3)
     for rule in licenses.rules():
