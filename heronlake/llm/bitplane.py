@@ -147,13 +147,15 @@ class Reader:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, planes: str = "byte") -> list[dict]:
     """Encodes doc_id and text into files of the format under path (any store that pyarrow.fs opens), ids in ascending doc_id order.
 
-    Returns the manifest in that order: file, documents, ids (a row for each file). Ties of doc_id are ordered by text; null ids come first; null text is empty.
+    Returns the manifest in that order: file, documents, ids (a row for each file). Ties of doc_id are ordered by a hash of the text and then as the
+    input has them, so that many rows of one id, or without one, make several files; null ids come first; null text is empty. Columns other than doc_id and
+    text aren't read.
     A task writes its file under a name of its own and moves it when it is whole, so a repeated task does no harm.
     """
     spark = docs.sparkSession
     ship(spark)
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
-    ranged = slim.repartitionByRange(parts(slim), "doc_id").sortWithinPartitions("doc_id", "text")
+    slim = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ranged = slim.repartitionByRange(parts(slim), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
 
     def files(batches):
         code, end, out = encoder(tokenizer), struct.pack("<I", end_id), None

@@ -14,6 +14,8 @@ from .common import buffers, ship, slices
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 #: Labelled documents of each language that the network is fitted on, about; characters taken of each, from anywhere in it. Passes over them.
 SAMPLE, STRETCH, EPOCHS = 1500, 512, 6
+#: Labels that are learned at most, the most frequent ones: wrong labels may be without number.
+LANGS = 256
 #: Windows that are run at once.
 BATCH = 256
 UNDETERMINED = "und"
@@ -105,9 +107,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = EPOCH
             peaks, values = [], []
             for w in WIDTHS:
                 n = WINDOW - w + 1
-                out = sum(net.tables[w][k][b[:, k : k + n]] for k in range(w))
+                out = np.take(net.tables[w][0], b[:, :n], axis=0)
+                for k in range(1, w):
+                    out += np.take(net.tables[w][k], b[:, k : k + n], axis=0)
                 peaks.append(out.argmax(axis=1))
-                values.append(out.max(axis=1))
+                values.append(np.take_along_axis(out, peaks[-1][:, None], axis=1)[:, 0])
             hidden = np.maximum(np.concatenate(values, axis=1) + net.bias, 0)
             grad = softmax(hidden @ net.dense + net.offset)
             grad[rows, t] -= 1
@@ -115,10 +119,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = EPOCH
             back = (grad @ net.dense.T) * (hidden > 0)
             grads = []
             for g, w in enumerate(WIDTHS):
-                mine, to = back[:, g * FILTERS : (g + 1) * FILTERS], np.zeros_like(net.tables[w])
+                mine, to = back[:, g * FILTERS : (g + 1) * FILTERS].ravel(), []
                 for k in range(w):
-                    np.add.at(to[k], (b[rows[:, None], peaks[g] + k], np.arange(FILTERS)), mine)
-                grads.append(to)
+                    at = b[rows[:, None], peaks[g] + k].astype(np.int64) * FILTERS + np.arange(FILTERS)
+                    to.append(np.bincount(at.ravel(), mine, 256 * FILTERS).reshape(256, FILTERS))
+                grads.append(np.stack(to).astype(np.float32))
             grads += [back.sum(axis=0), hidden.T @ grad, grad.sum(axis=0)]
             step += 1
             for p, g, m, v in zip(params, grads, first, second, strict=True):
@@ -137,17 +142,17 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[str]]:
     """(stretches, langs) of about ``size`` labelled documents of each language that may be learned from.
 
     Chosen by the hash of doc_id, so the choice doesn't depend on the files' order; the driver gets size * STRETCH characters
-    for each language, and the number of languages bounds both.
+    for each language, and LANGS bounds the languages. Null texts and those without a letter are drawn like others, and then left out.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGS).collect()}
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, size / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     room = F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1
     start = (F.pmod(F.xxhash64("doc_id", F.lit("start")), room.cast("long")) + 1).cast("int")
-    drawn = known.where(draw <= share[F.col("lang")]).where(F.col("text").rlike("\\p{L}"))
+    drawn = known.where(F.coalesce(draw <= share[F.col("lang")], F.lit(False))).where(F.col("text").rlike("\\p{L}"))
     rows = drawn.select("doc_id", "lang", F.col("text").substr(start, F.lit(STRETCH)).alias("text")).collect()
     rows = sorted((r.lang, r.doc_id, r.text) for r in rows)
     return [r[2] for r in rows], [r[0] for r in rows]
@@ -156,7 +161,8 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[str]]:
 def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score for whole texts. score: the mean probability of the language over the text's windows.
 
-    Null texts and those without a letter are ``und`` with score 0, as is everything without a network. Rows are independent of each other.
+    Null texts and those without a letter are ``und`` with score 0, as is everything without a network. Of equal languages the first by
+    name wins. Rows are independent of each other, repeated ones and those without an id included; other columns aren't read.
     """
     ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), F.when(F.col("text").rlike("\\p{L}"), F.col("text")).alias("text"))
@@ -191,7 +197,10 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) ->
 
 
 def identify(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: trains on the documents' own labels and predicts all of them."""
+    """doc_id, held_out, lang_pred, score: trains on the documents' own labels and predicts all of them.
+
+    A row for each row, none of none; the cases of ``predict``; a null doc_id isn't held out, and isn't learned from.
+    """
     net = train(*sample(docs, size))
     out = predict(docs, net)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -88,46 +88,51 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def place(cuts: DataFrame, capacity: int) -> DataFrame:
+def place(cuts: DataFrame, capacity: int, row: str | None = None) -> DataFrame:
     """cuts (with doc_id, piece, length) with sequence_id and offset. Its rows are read several times: give a written table.
 
     Ranks within a length come from counts by (length, salt), the salt spreading lengths that many pieces share, and a number within that group;
-    each piece then takes the slot that the plan has for its length and rank. Repeated rows are pieces of their own.
+    each piece then takes the slot that the plan has for its length and rank. Repeated rows are pieces of their own; ``row`` names a
+    column that tells them apart, so that many equal ones are spread too. The driver sees counts by length, ``capacity`` at most, and the plan over them.
     """
     spark = cuts.sparkSession
-    counts = {int(r[0]): int(r[1]) for r in cuts.groupBy("length").count().collect()}  # at most ``capacity`` of them
+    counts = {int(r[0]): int(r[1]) for r in cuts.groupBy("length").count().collect()}
     total = sum(counts.values())
     group = min(GROUP, max(1, -(-total // GROUPS)))
     salts = [1] * (capacity + 1)
     for k, n in counts.items():
         salts[k] = -(-n // group)
-    length = F.col("length").cast("int")
-    salted = cuts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(F.lit(salts), length + 1)).cast("int"))
-    bases, at = [], 0
-    for k, s, n in sorted((int(r[0]), int(r[1]), int(r[2])) for r in salted.groupBy("length", "_salt").count().collect()):
-        at = at if bases and bases[-1][0] == k else 0
-        bases.append((k, s, at))
-        at += n
+    length, own = F.col("length").cast("int"), [row] if row else ["doc_id", "piece", "ids_crc32"]
+    salted = cuts.withColumn("_salt", F.pmod(F.xxhash64(*own), F.element_at(F.lit(salts), length + 1)).cast("int"))
+    before = Window.partitionBy("_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = salted.groupBy(length.alias("_l"), F.col("_salt").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    base = cut(sizes.select("_l", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
     slots = best_fit(counts, capacity)
     rows_of: dict[int, int] = defaultdict(int)
     for x in slots:
         rows_of[x[0]] += 1
+    # A length's plan rows are spread over blocks of ranks, about one row to a block, and a block has GROUP ranks at most.
     step = [1] * (capacity + 1)
     for k, n in counts.items():
-        step[k] = max(1, n // rows_of[k])
-    # A length's plan rows are spread over blocks of ranks, about one row to a block.
-    spread = [(k, b, lo, hi, first, off, each) for k, lo, hi, first, off, each in slots for b in range(lo // step[k], (hi - 1) // step[k] + 1)]
-    small = F.broadcast if len(spread) + len(bases) <= SMALL_PLAN else (lambda x: x)
-    base = spark.createDataFrame(bases or [(0, 0, 0)], "_l int, _s int, _base long")
-    plan = spark.createDataFrame(spread or [(0, 0, 0, 0, 0, 0, 0)], "_k int, _b long, _lo long, _hi long, _first long, _off long, _each long")
+        step[k] = max(1, min(group, n // rows_of[k]))
+    blocks = sum((hi - 1) // step[k] - lo // step[k] + 1 for k, lo, hi, *_ in slots)
+    plan = spark.createDataFrame(slots or [(0, 0, 0, 0, 0, 0)], "_k int, _lo long, _hi long, _first long, _off long, _each long")
+    wide = F.element_at(F.lit(step), F.col("_k") + 1)
+    plan = plan.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / wide), F.floor(F.greatest(F.col("_hi") - 1, F.col("_lo")) / wide))))
+    small = F.broadcast if blocks + sum(salts[k] for k in counts) <= SMALL_PLAN else (lambda x: x)
     by = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_n", F.row_number().over(by) - 1).join(small(base), (length == F.col("_l")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_base") + F.col("_n"))
     ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / F.element_at(F.lit(step), length + 1)).cast("long"))
     taken = ranked.join(small(plan), (length == F.col("_k")) & (F.col("_block") == F.col("_b")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     j = F.col("_rank") - F.col("_lo")
-    return taken.select(*[F.col(c) for c in cuts.columns], (F.col("_first") + F.floor(j / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_off") + (j % F.col("_each")) * F.col("length")).cast("long").alias("offset"))
+    kept = [F.col(c) for c in cuts.columns if c != row]
+    return taken.select(*kept, (F.col("_first") + F.floor(j / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_off") + (j % F.col("_each")) * F.col("length")).cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Every piece of every document with its sequence and place there. Null text is an empty document, which has the end id alone; no rows give no rows."""
-    return place(cut(pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity)
+    """Every piece of every document with its sequence and place there. Null text is an empty document, which has the end id alone; no rows give no rows.
+
+    Repeated rows and those without an id are pieces of their own; columns other than doc_id and text aren't read.
+    """
+    found = pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id())
+    return place(cut(found), capacity, "_row")

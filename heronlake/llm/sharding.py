@@ -8,8 +8,12 @@ from collections import defaultdict, deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Places of the ring. Counts are taken by place, so what the driver plans with is bounded by this, whatever the input.
 PLACES = 1 << 16
+#: Rows of one place that one task numbers, about; rows that are broadcast at most.
+CROWD, SMALL = 200_000, 500_000
 
 
 def ring(shards: int, virtual_nodes: int, places: int = PLACES) -> list[tuple[int, int]]:
@@ -68,17 +72,29 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", order: list[str] | No
     """df with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
     Counts by place are the only thing the driver sees: at most PLACES of them; the plan has a row for each place and
-    one more for each arc that is split, so the broadcast side is bounded by PLACES + rounds * virtual nodes rows.
+    one more for each arc that is split, so the broadcast side is bounded by PLACES + rounds * virtual nodes rows. A place with
+    more than CROWD rows, as one key that many rows have, is numbered in groups by a hash of key and ``order``.
     With slack 0 the shards' counts differ by one at most. Rows with equal keys are told apart by ``order``; a null key
-    is a key like any other; no rows give no rows. Columns of df keep their names; shard and slot replace columns so named.
+    is a key like any other; no rows give no rows. Columns of df keep their names; shard and slot replace columns so named. df is
+    read several times: give a written table.
     """
     nodes = ring(shards, virtual_nodes)
     spark = df.sparkSession
+    own = [F.col(c) for c in [key, *(order or [])]]
     counts = {r[0]: r[1] for r in df.groupBy(place(F.col(key)).alias("p")).count().collect()}
     rows = plan(counts, nodes, shards, slack)
     assigned = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "_p int, _lo long, _hi long, shard int, _base long")
-    by = Window.partitionBy("_place").orderBy(F.xxhash64(F.col(key)), *[F.col(c) for c in [key, *(order or [])]])
-    ranked = df.drop("shard", "slot").withColumn("_place", place(F.col(key))).withColumn("_rank", (F.row_number().over(by) - 1).cast("long"))
+    crowds = spark.createDataFrame([(p, -(-n // CROWD)) for p, n in sorted(counts.items())] or [(0, 1)], "_c int, _groups int")
+    placed = df.drop("shard", "slot").withColumn("_place", place(F.col(key))).join(F.broadcast(crowds), F.col("_place") == F.col("_c"))
+    placed = placed.withColumn("_salt", F.pmod(F.xxhash64(*own), F.col("_groups")).cast("int")).drop("_c", "_groups")
+    before = Window.partitionBy("_bp").orderBy("_bs").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(F.col("_place").alias("_bp"), F.col("_salt").alias("_bs")).agg(F.count(F.lit(1)).alias("_m")).withColumn("_first", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    # The first group of a place begins at 0; there is a row here for the others alone, one for CROWD rows of df.
+    firsts = cut(sizes.where("_first > 0").select("_bp", "_bs", "_first"))
+    firsts = F.broadcast(firsts) if firsts.limit(SMALL + 1).count() <= SMALL else firsts
+    by = Window.partitionBy("_place", "_salt").orderBy(F.xxhash64(F.col(key)), *own)
+    ranked = placed.withColumn("_n", F.row_number().over(by) - 1).join(firsts, (F.col("_place") == F.col("_bp")) & (F.col("_salt") == F.col("_bs")), "left")
+    ranked = ranked.withColumn("_rank", (F.coalesce("_first", F.lit(0)) + F.col("_n")).cast("long")).drop("_n", "_bp", "_bs", "_first", "_salt")
     joined = ranked.join(F.broadcast(assigned), (F.col("_place") == F.col("_p")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     return joined.withColumn("slot", F.col("_base") + F.col("_rank") - F.col("_lo")).drop("_place", "_rank", "_p", "_lo", "_hi", "_base")
 
@@ -87,12 +103,14 @@ def shard_documents(docs: DataFrame, shards: int = 40, virtual_nodes: int = 64)
     """Each document's shard under the law ``rows``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text (null: none) plus 16; text_crc32: of those bytes (null: of none).
-    The documents' count decides the capacities, so grown_shard, which the law ``key`` alone has, is null.
+    The documents' count decides the capacities, so grown_shard, which the law ``key`` alone has, is null. Repeated ids and null
+    ones are keys like others, equal rows take slots of their own; other columns aren't read; no rows give no rows.
     """
     slim = docs.select(
         "doc_id",
         (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    out = shard(slim, shards, order=["size", "text_crc32"], virtual_nodes=virtual_nodes)
+    out = shard(cut(slim), shards, order=["size", "text_crc32", "row"], virtual_nodes=virtual_nodes)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

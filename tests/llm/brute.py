@@ -115,6 +115,64 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(cover)
 
 
+def ring(keys, shards, virtual_nodes, slack, places):
+    """{key: shard}: every key by itself, round by round, to the next node clockwise that has room."""
+    import struct
+
+    import xxhash
+
+    taken = {}
+    for v in range(virtual_nodes):
+        for s in range(shards):
+            p = int.from_bytes(hashlib.sha256(f"{s}:{v}".encode()).digest()[:8], "big") % places
+            while p in taken:
+                p = (p + 1) % places
+            taken[p] = s
+    nodes = sorted(taken)
+    fair = int(len(keys) * (1 + slack)) if slack else len(keys)
+    room = [fair // shards + (s < fair % shards) for s in range(shards)]
+
+    def placed(k):
+        h = xxhash.xxh64(struct.pack("<q", k), seed=42).intdigest()
+        return h % places, h - (1 << 64) * (h >= 1 << 63), k
+
+    waiting = sorted(((next((i for i, p in enumerate(nodes) if p >= x[0]), 0), *x) for x in map(placed, keys)))
+    out, d = {}, 0
+    while waiting:
+        left = []
+        for x in waiting:
+            s = taken[nodes[(x[0] + d) % len(nodes)]]
+            if room[s]:
+                room[s] -= 1
+                out[x[3]] = s
+            else:
+                left.append(x)
+        waiting, d = left, d + 1
+    return out
+
+
+def language(text, net, window, widths, filters):
+    """(language, score): every filter at every place of every window, one after the other."""
+    import math
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    raw, total = text.encode(), [0.0] * len(net.langs)
+    parts = [raw[i : i + window] for i in range(0, len(raw), window)]
+    for part in parts:
+        part = part + bytes(window - len(part))
+        pooled = []
+        for g, w in enumerate(widths):
+            for f in range(filters):
+                best = max(sum(float(net.tables[w][k][part[i + k]][f]) for k in range(w)) for i in range(window - w + 1))
+                pooled.append(max(0.0, best + float(net.bias[g * filters + f])))
+        z = [sum(p * float(net.dense[j][c]) for j, p in enumerate(pooled)) + float(net.offset[c]) for c in range(len(net.langs))]
+        e = [math.exp(x - max(z)) for x in z]
+        total = [t + x / sum(e) for t, x in zip(total, e)]
+    best = max(range(len(total)), key=lambda c: (total[c], -c))
+    return net.langs[best], total[best] / len(parts)
+
+
 def hosts(rows, sure, least):
     """rows: (doc_id, text, host) -> {doc_id: (host_failed, host_rate)}"""
     count, fails = Counter(), defaultdict(Counter)

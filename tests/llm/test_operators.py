@@ -29,7 +29,7 @@ ODD = [
     BASE[2] + "\n" + BASE[3], BASE[3] + " " + BASE[3], "mail a.b@c.de_x@y.zz, 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 +1 (555) 123-4567 +1 2", "licensed under the MIT License. Apache  License! general-public license",
     "SPDX-License-Identifier: GPL-2.0-or-later", "This work is licensed under the GNU General Public License, version 3.", "H̱ello İ Σας ﬁ a\x1cb c <|endoftext|>", "\x00\x01 \x02", prose(3000),
 ]
-TEXTS = ODD + [prose(RNG.randint(1, 60)) for _ in range(25)]
+TEXTS = ODD + [prose(RNG.randint(1, 60)) for _ in range(25)] + ["<|ENDOFTEXT|> <|StartOfText|>x a\x00 a \x00a <|endoftext|>."]
 
 
 @pytest.fixture(scope="module")
@@ -87,6 +87,24 @@ def test_gradient_of_one_filter():
         assert np.allclose(np.maximum(one + net.bias[g : g + lang_id.FILTERS], 0), net.pooled(x)[:, g : g + lang_id.FILTERS], atol=1e-4)
 
 
+def test_predictions_against_a_plain_pass(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(w) for _ in range(40)) for w in (["the", "thing", "with"], ["le", "où", "ça"], ["der", "über", "ein"]) * 12]
+    net = lang_id.train(texts, ["en", "fr", "de"] * 12, epochs=2)
+    asked = [*texts[:6], "the", "où " * 100, "x", None, "12 .", "", "é" * 64 + "the " * 40, "\U0001f600 a"]
+    got = by_id(lang_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), net))
+    for i, t in enumerate(asked):
+        lang, score = brute.language(t, net, lang_id.WINDOW, lang_id.WIDTHS, lang_id.FILTERS)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-4
+
+
+def test_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "LANGS", 2)
+    rows = [(i, "the thing", "en") for i in range(40)] + [(100 + i, "le où", "fr") for i in range(30)] + [(200 + i, "zz", f"odd{i}") for i in range(20)]
+    texts, langs = lang_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(langs) == {"en", "fr"} and len(texts) == len(langs) > 40
+
+
 ITEMS = [(1, BASE[2]), (2, BASE[0][:60]), (10, "a"), (11, None), (12, " . "), (2, BASE[3]), (3, prose(20)), (4, TEXTS[24][500:900])]
 
 
@@ -279,6 +297,35 @@ def test_sharding(spark, docs, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_ring_against_plain_version(spark, monkeypatch):
+    keys = [*range(700), *range(100000, 100300)]
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    for shards, slack in ((7, 0.0), (5, 0.1), (40, 0.0)):
+        got = {r.doc_id: r.shard for r in sharding.shard(df, shards, virtual_nodes=8, slack=slack).collect()}
+        assert got == brute.ring(keys, shards, 8, slack, sharding.PLACES)
+
+
+def test_one_key_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CROWD", 20)
+    rows = [(None, f"t{k % 50}") for k in range(300)] + [(7, "same")] * 300 + [(k, "x") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard_documents(docs, 9).collect()
+    assert sorted((str(r.doc_id), r.text_crc32) for r in got) == sorted((str(d), zlib.crc32(t.encode())) for d, t in rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(map(len, slots.values())) == [77] * 2 + [78] * 7 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    found = bitplane.token_files(docs, vocabulary()).collect()
+    order = [(r.start, -1 if r.doc_id is None else r.doc_id) for r in found]
+    assert len(found) == 700 and [d for _, d in sorted(order)] == sorted(d for _, d in order)
+    monkeypatch.setattr(packing, "GROUP", 10)
+    pieces = packing.pack(docs, vocabulary(), 8).collect()
+    held = {}
+    for r in pieces:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(pieces) == 700 and all(sum(n for _, n in x) <= 8 and all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:])) and min(x)[0] == 0 for x in held.values())
+
+
 def test_ring_moves_little(spark):
     keys = spark.range(20000).withColumnRenamed("id", "doc_id")
     a, b = ({r.doc_id: r.shard for r in sharding.shard(keys, n, slack=0.05).collect()} for n in (40, 41))
