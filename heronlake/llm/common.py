@@ -155,7 +155,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that are hashed at once, some 24 bytes of memory for each.
-STEP = 1 << 20
+STEP = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 #: Weight of a word's length in its hash.
 LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -24,7 +24,7 @@ from .common import SPACE_BYTES, buffers, cut, frugal, mixed, parts, scratch, sh
 from .graph import components
 
 #: Texts and text bytes of a chunk; the number of texts must fit 12 bits.
-CHUNK, CHUNK_BYTES = 4095, 4 << 20
+CHUNK, CHUNK_BYTES = 4095, 2 << 20
 #: Stands for a text where an n-gram has several in its chunk.
 SEVERAL = 65535
 #: Shares of the fingerprints for each partition of the input (rounded to a power of two); shares for candidate links at least, else as many as partitions.

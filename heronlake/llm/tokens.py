@@ -151,7 +151,7 @@ class Encoder:
         i, n = 0, len(offsets) - 1
         while i < n:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + GROUP, "right")) - 1)
-            if offsets[j] - offsets[i] > 4 * GROUP:
+            if offsets[j] - offsets[i] > GROUP:
                 out.append(self._long(raw[offsets[i] : offsets[j]]))
             else:
                 ids, at = self.encode_bytes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
