@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import ship
+
 from ..errors import InvalidArgument
 
 
@@ -56,6 +58,7 @@ class BloomFilter:
             yield pa.RecordBatch.from_pydict({"words": pa.array([mine.words.tobytes()], pa.binary())})
 
         hashed = df.where(F.col(column).isNotNull()).select(*hash_pair(F.col(column)))
+        ship(df.sparkSession)
         for r in hashed.mapInArrow(bits, "words binary").toLocalIterator():
             out.words |= np.frombuffer(r.words, np.uint8)
         return out
@@ -64,6 +67,8 @@ class BloomFilter:
         """df with a boolean column: false means certainly not among the added values."""
         mine = self
 
+        ship(df.sparkSession)
+
         @F.pandas_udf("boolean")
         def has(a, b):
             import pandas as pd

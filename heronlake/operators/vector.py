@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import EmptyIndexTraining
 from ..functions import vectors as V
 from ..functions.kinds import resolve
+from ..shared import ship
 
 #: Vectors that a codebook or cells are trained on at most.
 TRAINED_ON = 50_000
@@ -63,6 +64,7 @@ def batch(df: DataFrame, field: str, queries: list[tuple], k: int, metric: str =
 
     at, _ = resolve(df, field)
     query_kind = "string" if isinstance(ids[0], str) else "long"
+    ship(df.sparkSession)
     near = df.select("key", at.alias("v")).mapInArrow(nearest, f"query {query_kind}, key {kind}, distance double")
     order = Window.partitionBy("query").orderBy("distance", "key")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "key", "distance")
@@ -100,6 +102,7 @@ def batch_near(coded: DataFrame, code, field: str, queries: list[tuple], k: int,
 
     at, _ = resolve(coded, field)
     query_kind = "string" if isinstance(ids[0], str) else "long"
+    ship(coded.sparkSession)
     found = coded.select("key", at.alias("v"), code.alias("code")).mapInArrow(nearest, f"query {query_kind}, key {kind}, distance double")
     order = Window.partitionBy("query").orderBy("distance", "key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "key", "distance")
@@ -209,6 +212,7 @@ def train_pq(df: DataFrame, field: str, m: int, k: int) -> V.Pq:
 def with_pq(df: DataFrame, field: str, pq: V.Pq) -> DataFrame:
     """df with ``code`` (binary): every row is encoded."""
     at, _ = resolve(df, field)
+    ship(df.sparkSession)
 
     @F.pandas_udf("binary")
     def encode(column):
@@ -243,6 +247,8 @@ def batch_by_pq(coded: DataFrame, field: str, pq: V.Pq, queries: list[tuple], k:
 def by_pq(coded: DataFrame, field: str, pq: V.Pq, query, k: int, metric: str = "l2", over: int | None = None) -> DataFrame:
     """Candidates by distance of codes (asymmetric, from the query's table; over * k, or as many as recall needs), ranked again by exact distance."""
 
+    ship(coded.sparkSession)
+
     @F.pandas_udf("double")
     def near(codes):
         import pandas as pd
@@ -298,6 +304,7 @@ class InvertedLists:
 
     def assign(self, df: DataFrame, field: str) -> DataFrame:
         """df with ``cell``, by which its files can be laid out."""
+        ship(df.sparkSession)
         at, _ = resolve(df, field)
         centres, metric = self.centres, self.metric
 

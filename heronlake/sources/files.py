@@ -40,6 +40,11 @@ class Files:
             self.fs.delete(new, False)
             raise StorageError(f"{name} was written by another")
 
+    def move(self, name: str, to: str) -> bool:
+        """Gives a file or folder another name; false if another has moved it already."""
+        self.fs.mkdirs(self._path(to).getParent())
+        return self.fs.exists(self._path(name)) and not self.exists(to) and self.fs.rename(self._path(name), self._path(to))
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 

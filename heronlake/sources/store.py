@@ -6,6 +6,7 @@ writer wins. Readers keep the version they began with. ``compact`` removes what
 
 from __future__ import annotations
 
+import base64
 import json
 import uuid
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import IncompatibleFormat, InvalidArgument, InvalidDump, InvalidName, ReservedCollection, SchemaViolation
+from ..errors import IncompatibleFormat, InvalidArgument, InvalidDump, InvalidName, ReservedCollection, SchemaViolation, StorageError
 from ..functions.geo import cells
 from ..functions.text import Analyzer
 from ..operators import graph, joins, text, vector
@@ -25,6 +26,7 @@ from .files import Files
 from .schema import FieldRule, violations
 
 FORMAT = 1
+CHANGES = "collection string, key string, kind string, version int"
 
 
 def check_name(name: str) -> str:
@@ -62,19 +64,34 @@ class Database:
         return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{self.root}/{name}")
 
     def commit(self, change: Callable[[dict], None], events: DataFrame | None = None) -> None:
-        """events: collection, key, kind of what changed; they are written before the manifest that makes them true."""
+        """events: collection, key, kind of what changed. They are written aside, named by the manifest, and published once that stands."""
+        self._publish()
         new = json.loads(json.dumps(self.manifest))
         change(new)
         new["version"] += 1
+        new["events"] = None
         if events is not None:
-            events.withColumn("version", F.lit(new["version"])).coalesce(1).write.mode("append").parquet(f"{self.root}/changes")
-        self.files.create(f"_manifests/{new['version']:012d}.json", json.dumps(new))
+            new["events"] = f"staged/{uuid.uuid4().hex}"
+            events.withColumn("version", F.lit(new["version"])).write.parquet(f"{self.root}/{new['events']}")
+        try:
+            self.files.create(f"_manifests/{new['version']:012d}.json", json.dumps(new))
+        except StorageError:
+            if new["events"]:
+                self.files.delete(new["events"])
+            raise
         self.manifest = new
+        self._publish()
         if events is not None and self.listeners:
-            for r in events.orderBy("kind", "key").toLocalIterator():
+            told = self.spark.read.schema(CHANGES).parquet(f"{self.root}/changes/{new['version']:012d}")
+            for r in told.orderBy("kind", "key").toLocalIterator():
                 for f in list(self.listeners.values()):
                     f(r.collection, r.key, r.kind)
 
+    def _publish(self) -> None:
+        """Moves the last commit's events to the change feed; its writer may have stopped before it could."""
+        if self.manifest.get("events"):
+            self.files.move(self.manifest["events"], f"changes/{self.manifest['version']:012d}")
+
     def subscribe(self, f: Callable[[str, str, str], None]) -> str:
         self.listeners[name := uuid.uuid4().hex] = f
         return name
@@ -84,16 +101,19 @@ class Database:
 
     def changes(self) -> DataFrame:
         """collection, key, kind, version of all committed changes."""
-        kind = "collection string, key string, kind string, version int"
+        self._publish()
         if not self.files.exists("changes"):
-            return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(f"{self.root}/changes").where(F.col("version") <= self.manifest["version"])
+            return self.spark.createDataFrame([], CHANGES)
+        return self.spark.read.schema(CHANGES).option("recursiveFileLookup", "true").parquet(f"{self.root}/changes").where(F.col("version") <= self.manifest["version"])
 
     def compact(self) -> None:
         used = {x for c in self.manifest["collections"].values() for x in (c["path"], c.get("ttl"), *[i.get("path") for i in c["indexes"].values()]) if x} | {e["path"] for e in self.manifest["edges"].values()}
         for x in self.files.list("data"):
             if f"data/{x}" not in used:
                 self.files.delete(f"data/{x}")
+        self._publish()
+        for x in self.files.list("staged"):
+            self.files.delete(f"staged/{x}")
         for x in self.files.list("_manifests")[:-1]:
             self.files.delete(f"_manifests/{x}")
 
@@ -207,8 +227,11 @@ class Collection:
 
     # writing
 
-    def put(self, rows: DataFrame, check: bool = True, keep_ttl: bool = False) -> None:
-        """Adds or overwrites rows (key and columns); of rows with one key the one that was given last stays, where ``_order`` says so, else any. All or nothing."""
+    def put(self, rows: DataFrame, check: bool = True, keep_ttl: bool = False, expiries: DataFrame | None = None, **meta) -> None:
+        """Adds or overwrites rows (key and columns); of rows with one key the one that was given last stays, where ``_order`` says so, else any.
+
+        All or nothing, with the rows' expiries (key, expires_at) and other values of the collection's manifest in the same commit.
+        """
         check_name(self.name)
         if "_order" in rows.columns:
             rows = rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("key", "_order")]), "_order").alias("_d")).select("key", "_d.*") if len(rows.columns) > 2 else rows.select("key").distinct()
@@ -219,14 +242,16 @@ class Collection:
             if bad:
                 raise SchemaViolation(f"{bad[0].field}: {bad[0].problem} ({bad[0].key})")
         ttl = None if keep_ttl or not (self.meta and self.meta.get("ttl")) else self._ttl().join(rows.select("key"), "key", "left_anti")
-        self._replace(D.union(stay, rows) if self.meta else rows, rows.select("key"), "insert", ttl)
+        if expiries is not None:
+            ttl = self._ttl().join(expiries.select("key"), "key", "left_anti").unionByName(expiries)
+        self._replace(D.union(stay, rows) if self.meta else rows, rows.select("key"), "insert", ttl, **meta)
 
-    def _replace(self, rows: DataFrame, keys: DataFrame, kind: str, ttl: DataFrame | None = None) -> None:
+    def _replace(self, rows: DataFrame, keys: DataFrame, kind: str, ttl: DataFrame | None = None, **meta) -> None:
         path = self.db.write(rows)
         back = self.spark.read.schema(rows.schema).parquet(f"{self.db.root}/{path}")
         n, ttl_path = back.count(), None if ttl is None else self.db.write(ttl)
         old = self.meta or {"rules": [], "auto": 0, "indexes": {}, "ttl": None}
-        new = old | {"path": path, "schema": rows.schema.json(), "rows": n, "written": old.get("written", 0) + 1}
+        new = old | {"path": path, "schema": rows.schema.json(), "rows": n, "written": old.get("written", 0) + 1} | meta
         if ttl_path:
             new["ttl"] = ttl_path
         events = keys.select(F.lit(self.name).alias("collection"), F.col("key").cast("string").alias("key"), F.lit(kind).alias("kind"))
@@ -242,8 +267,7 @@ class Collection:
     def insert_auto(self, doc: dict) -> str:
         """Under the next number as 20 digits; a failed insert uses none up."""
         n = (self.meta["auto"] if self.meta else 0) + 1
-        self.insert(key := f"{n:020d}", doc)
-        self.db.commit(lambda m: m["collections"][self.name].update(auto=n))
+        self.put(D.frame(self.spark, [(key := f"{n:020d}", doc)]), auto=n)
         return key
 
     def update(self, key: str, f: Callable[[dict | None], dict | None]) -> None:
@@ -304,8 +328,7 @@ class Collection:
         self.db.commit(lambda m: m["collections"][self.name].update(ttl=path))
 
     def insert_with_ttl(self, key: str, doc: dict, expires_at: int) -> None:
-        self.insert(key, doc)
-        self.set_ttl(key, expires_at)
+        self.put(D.frame(self.spark, [(key, doc)]), expiries=self.spark.createDataFrame([(key, expires_at)], "key string, expires_at long"))
 
     def set_ttl(self, key: str, expires_at: int) -> None:
         self._ttl_put(self.spark.createDataFrame([(key, expires_at)], "key string, expires_at long"))
@@ -364,16 +387,32 @@ class Collection:
             self._replace(self.frame(), self.frame(), "insert")
         self.db.commit(lambda m: m["collections"][self.name]["indexes"].__setitem__(f"{kind}:{field}", {"kind": kind, "field": field, "path": None, "version": -1, **more}))
 
-    def create_vector_index(self, field: str, metric: str = "cosine", cells: int | None = None, m: int | None = None, k: int = 256) -> None:
-        """Inverted lists; with m also product-quantized codes. Trained now, so that vectors that don't fit are an error here."""
+    def create_vector_index(self, field: str, metric: str = "cosine", cells: int | None = None, m: int | None = None, k: int = 256, codes: str | None = None) -> None:
+        """Inverted lists; with m product-quantized codes instead, or with codes ``binary`` or ``scalar`` ones. Trained now, so that vectors that don't fit are an error here."""
+        if codes not in (None, "binary", "scalar") or (codes and m):
+            raise InvalidArgument("codes are binary or scalar, and have no m")
+        self._index("vector", field, metric=metric, cells=cells, m=m, k=k, codes=codes)
         if m:
-            vector.train_pq(self.frame(), field, m, k)
-        self._index("vector", field, metric=metric, cells=cells, m=m, k=k)
+            self._codes(f"vector:{field}")
+
+    def _stale(self, name: str) -> bool:
+        return self.meta["indexes"][name]["version"] != self.meta["written"]
+
+    def _codes(self, name: str) -> tuple[vector.V.Pq, DataFrame]:
+        """(codebooks, rows with their codes), trained and encoded anew when the rows have changed since."""
+        i = self.meta["indexes"][name]
+        if self._stale(name):
+            pq = vector.train_pq(self.frame(), i["field"], i["m"], i["k"])
+            coded = vector.with_pq(self.frame(), i["field"], pq)
+            done = {"path": self.db.write(coded), "version": self.meta["written"], "books": base64.b64encode(pq.to_bytes()).decode(), "schema": coded.schema.json()}
+            self.db.commit(lambda m: m["collections"][self.name]["indexes"][name].update(done))
+            i = self.meta["indexes"][name]
+        return vector.V.Pq.from_bytes(base64.b64decode(i["books"])), self.db.read(i["path"], i["schema"])
 
     def _cells(self, name: str) -> tuple:
         """(lists, assigned rows), rebuilt when the rows have changed since."""
         i = self.meta["indexes"][name]
-        if i["version"] != self.meta["written"]:
+        if self._stale(name):
             lists = vector.InvertedLists.train(self.frame(), i["field"], i["metric"], i["cells"])
             assigned = lists.assign(self.frame(), i["field"])
             path = self.db.write(assigned.repartition("cell").sortWithinPartitions("cell"))
@@ -415,7 +454,23 @@ class Collection:
         return text.phrase(self.frame(), field, query, k).select("key", "score")
 
     def vector_search(self, field: str, query, k: int, metric: str = "cosine") -> DataFrame:
-        return vector.exact(self.frame(), field, query, k, metric)
+        """The k nearest rows with their distance: through the field's index of that metric if there is one, else exactly."""
+        name = f"vector:{field}"
+        if not (self.meta and name in self.meta["indexes"] and self.meta["indexes"][name]["metric"] == metric and len(self)):
+            return vector.exact(self.frame(), field, query, k, metric)
+        found = self.vector_search_batch(field, [("", [float(x) for x in query])], k)
+        return self.frame().join(found.select("key", "distance"), "key").orderBy("distance", "key")
+
+    def vector_search_batch(self, field: str, queries: list[tuple], k: int) -> DataFrame:
+        """query, rank, key, distance of many queries through the field's index: codes or cells give candidates, exact distances rank them."""
+        i = self.meta["indexes"][f"vector:{field}"]
+        if i.get("m"):
+            pq, coded = self._codes(f"vector:{field}")
+            return vector.batch_by_pq(coded, field, pq, queries, k, i["metric"])
+        if i.get("codes"):
+            return vector.batch_by_codes(self.frame(), field, queries, k, i["metric"], i["codes"])
+        lists, assigned = self._cells(f"vector:{field}")
+        return lists.search_batch(assigned, field, queries, k)
 
     def create_scalar_index(self, field: str) -> None:
         self.create_compound_index([field])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def change_stream(spark: SparkSession, root: str) -> DataFrame:
     """Changes of a database as they are committed: collection, key, kind, version."""
-    return spark.readStream.schema("collection string, key string, kind string, version int").parquet(f"{root.rstrip('/')}/changes")
+    return spark.readStream.schema("collection string, key string, kind string, version int").option("recursiveFileLookup", "true").parquet(f"{root.rstrip('/')}/changes")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
