@@ -1,4 +1,4 @@
-"""Gives Python workers this package."""
+"""What all parts need of a cluster: this package on Python workers, and a folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -29,3 +29,14 @@ def ship(spark: SparkSession) -> None:
         f.write(data.getvalue())
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heronlake-checkpoints"))
+    return named or sc.getCheckpointDir()
