@@ -1,21 +1,18 @@
-"""What the operators of this subpackage share: shared storage, code shipping, checkpoints and text buffers."""
+"""What the operators of this subpackage share: intermediate tables, and text buffers."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED = "spark.heronlake.shipped"
+from ..shared import ship, shared_dir  # noqa: F401
+
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: ASCII characters that may stand in a word of the kind [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z are lower case; bytes of 0x80 and more stay.
 WORD_BYTES = np.array([c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256)], np.uint8)
@@ -27,37 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives Python workers this package, once for each Spark application."""
-    sc = spark.sparkContext
-    key = f"{_SHIPPED}.{sc.applicationId}"
-    if os.environ.get(key):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for d, _, names in os.walk(top):
-            for x in sorted(names):
-                if x.endswith(".py"):
-                    z.write(p := os.path.join(d, x), os.path.relpath(p, os.path.dirname(top)))
-    path = os.path.join(tempfile.mkdtemp(prefix="heronlake"), "heronlake_code.zip")
-    with open(path, "wb") as f:
-        f.write(data.getvalue())
-    sc.addPyFile(path)
-    os.environ[key] = "1"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heronlake-checkpoints"))
-    return named or sc.getCheckpointDir()
-
-
 #: Paths made since each ``cleared`` that is open began.
 _OPEN: list[list[str]] = []
 
