@@ -14,9 +14,16 @@ def _number(df: DataFrame, field: str) -> Column:
     return F.lit(None).cast("double") if at is None else number_of(at, kind)
 
 
+#: Kinds of native columns in which different values have different group keys, so values can be compared instead of keys.
+_PLAIN = ("bool", "int", "float", "text", "time")
+
+
 def _group(df: DataFrame, field: str) -> Column:
+    """Something that tells groups apart: a plain column's value itself, as a key is dear to spell for each row, else the key."""
     at, kind = resolve(df, field)
-    return F.lit(None).cast("string") if at is None else group_key(at, kind)
+    if at is None:
+        return F.lit(None).cast("string")
+    return at if kind_of_type(kind) in _PLAIN else group_key(at, kind)
 
 
 def count(df: DataFrame) -> DataFrame:
@@ -62,6 +69,8 @@ def approx_distinct(df: DataFrame, field: str, precision: int = 14) -> DataFrame
     at, kind = resolve(df, field)
     if at is None:
         return df.agg(F.lit(0).cast("long").alias("approx_distinct"))
+    if kind_of_type(kind) in ("int", "text"):
+        return df.agg(F.coalesce(hll(at, precision), F.lit(0).cast("long")).alias("approx_distinct"))
     tagged = F.coalesce(group_key(at, kind), F.concat(F.lit("c:"), at.cast("string") if kind_of_type(kind) not in ("array", "map", "variant") else F.to_json(at) if kind_of_type(kind) != "array" else F.to_json(F.struct(at))))
     return df.agg(F.coalesce(hll(tagged, precision), F.lit(0).cast("long")).alias("approx_distinct"))
 
@@ -72,11 +81,12 @@ def _grouped(df: DataFrame, group: str, number: Column | None) -> DataFrame:
     if at is None:
         return df.sparkSession.createDataFrame([], "group string, n long, total double")
     rows = df.select(at.alias("_v"), (F.lit(0.0) if number is None else number).alias("_x")).where("_x is not null")
-    if kind_of_type(kind) in ("variant", "map", "array"):
-        sums = rows.select(group_key(F.col("_v"), kind).alias("group"), F.lit(1).alias("n"), F.col("_x").alias("total"))
+    if kind_of_type(kind) in _PLAIN:
+        # Nulls go here: a test of the key would be pushed below the first sum and spell it for each row after all.
+        sums = rows.where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("total")).select(group_key(F.col("_v"), kind).alias("group"), "n", "total")
     else:
-        sums = rows.groupBy("_v").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("total")).select(group_key(F.col("_v"), kind).alias("group"), "n", "total")
-    return sums.where("group is not null").groupBy("group").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).orderBy("group")
+        sums = rows.select(group_key(F.col("_v"), kind).alias("group"), F.lit(1).alias("n"), F.col("_x").alias("total")).where("group is not null")
+    return sums.groupBy("group").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).orderBy("group")
 
 
 def group_count(df: DataFrame, group: str) -> DataFrame:
