@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship
-
 from ..errors import InvalidArgument
+from ..shared import ship
+from .kinds import let
 
 
 def approx_distinct(x: Column, precision: int = 14) -> Column:
@@ -137,7 +137,7 @@ class CuckooFilter:
 
 
 class TDigest:
-    """Centroids that are fine at the ends; merges. Frames use Spark's percentile_approx or KLL instead."""
+    """Centroids that are fine at the ends; merges."""
 
     def __init__(self, delta: float = 100.0):
         self.delta, self.means, self.weights = max(1.0, delta), np.zeros(0), np.zeros(0)
@@ -150,6 +150,40 @@ class TDigest:
             if len(self.open) >= 10 * self.delta:
                 self._squeeze()
 
+    def extend(self, values: np.ndarray) -> None:
+        """Many values at once: sorted, and summed within steps of the scale, which is what _squeeze keeps apart at best."""
+        x = np.sort(values[np.isfinite(values)].astype(np.float64))
+        if not len(x):
+            return
+        self.low, self.high = min(self.low, float(x[0])), max(self.high, float(x[-1]))
+        q = (np.arange(len(x)) + 0.5) / len(x)
+        step = np.floor(self.delta / math.pi * np.arcsin(2 * q - 1)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(step, prepend=step[0] - 1))
+        weights = np.diff(np.append(starts, len(x)))
+        self.open += list(zip((np.add.reduceat(x, starts) / weights).tolist(), weights.astype(float).tolist(), strict=True))
+        self._squeeze()
+
+    @staticmethod
+    def build(df: DataFrame, column: str, delta: float = 100.0) -> TDigest:
+        """Of a frame's column (nulls and NaN don't count). Each partition makes a digest; they are merged on the driver as they come, some hundred centroids each."""
+        out = TDigest(delta)
+
+        def digest(batches):
+            mine = TDigest(delta)
+            for b in batches:
+                mine.extend(b.column(0).to_numpy(zero_copy_only=False))
+            mine._squeeze()
+            row = {"means": [mine.means.tolist()], "weights": [mine.weights.tolist()], "low": [mine.low], "high": [mine.high]}
+            yield pa.RecordBatch.from_pydict(row, pa.schema([("means", pa.list_(pa.float64())), ("weights", pa.list_(pa.float64())), ("low", pa.float64()), ("high", pa.float64())]))
+
+        ship(df.sparkSession)
+        values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double"))
+        for r in values.mapInArrow(digest, "means array<double>, weights array<double>, low double, high double").toLocalIterator():
+            part = TDigest(delta)
+            part.means, part.weights, part.low, part.high = np.array(r.means), np.array(r.weights), r.low, r.high
+            out.merge(part)
+        return out
+
     def merge(self, other: TDigest) -> None:
         other._squeeze()
         self.open += list(zip(other.means.tolist(), other.weights.tolist(), strict=True))
@@ -198,8 +232,9 @@ class TDigest:
 
 
 def minhash(items: Column, k: int = 128) -> Column:
-    """k least hashes of a set of items, each under a seed of its own; null of an empty set."""
-    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: F.array_min(F.transform(items, lambda x: F.xxhash64(x, s)))))
+    """k least hashes of a set of items, each under a seed of its own; null of an empty set. An item is hashed once, its hash k times."""
+    least = lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s))))
+    return F.when(F.size(items) > 0, let(F.transform(items, lambda x: F.xxhash64(x)), least))
 
 
 def jaccard_estimate(a: Column, b: Column) -> Column:

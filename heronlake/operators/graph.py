@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import kept, placed
+
+#: Levels of so many keys at most get their places in one task; larger ones by a distributed sort.
+FEW = 100_000
+
 EDGES = "relation string, src string, dst string, weight double"
 
 
@@ -24,20 +29,26 @@ def in_neighbors(edges: DataFrame, key, relation: str) -> DataFrame:
 def traverse(edges: DataFrame, start, relation: str, hops: int) -> DataFrame:
     """key, hop, place of what is reached within so many hops, without the start: by level, then the finder's place, then key.
 
-    Each level is one join of the frontier with the relation's edges; levels are kept, so a level is computed once.
+    Each level is one join of the frontier with the relation's edges and is written to the shared folder, so it is computed
+    once, survives lost executors, and has a known size, by which Catalyst broadcasts a small frontier and shuffles a large one.
     """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     mine = edges.where(F.col("relation") == relation).select("src", "dst")
-    frontier = spark.createDataFrame([(start, 0)], f"key {kind}, place long")
-    seen = frontier.select("key")
-    out = None
+    seen = spark.range(1).select(F.lit(start).cast(kind).alias("key"))
+    frontier, out = seen.withColumn("place", F.lit(0).cast("long")), None
     for hop in range(1, hops + 1):
-        found = mine.join(frontier, F.col("src") == F.col("key")).groupBy(F.col("dst").alias("key")).agg(F.min("place").alias("parent")).join(seen, "key", "left_anti")
-        order = Window.partitionBy(F.lit(0)).orderBy("parent", "key")
-        level = found.select("key", F.row_number().over(order).cast("long").alias("place")).persist()
-        if not level.limit(1).count():
+        # The first frontier is one row.
+        near = F.broadcast(frontier) if hop == 1 else frontier
+        found = mine.join(near, F.col("src") == F.col("key")).groupBy(F.col("dst").alias("key")).agg(F.min("place").alias("parent")).join(seen, "key", "left_anti")
+        found = kept(found)
+        n = found.count()
+        if not n:
             break
+        if n <= FEW:
+            level = found.select("key", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("parent", "key")).cast("long").alias("place"))
+        else:
+            level = placed(found.orderBy("parent", "key").select("key"))
         rows = level.select("key", F.lit(hop).alias("hop"), "place")
         out = rows if out is None else out.unionByName(rows)
         seen, frontier = seen.unionByName(level.select("key")), level

@@ -50,10 +50,15 @@ def test_single_searches_hold_recall_at_defaults(cloud):
 
 
 def test_index_queries_ask_all_ids_and_can_fail(spark, monkeypatch):
-    names = ["knn_binary", "knn_scalar", "knn_pq", "knn_cells"]
-    assert [Q.QUERIES[n](spark, SF).collect() for n in names] == [[(True,)]] * 4
-    empty = lambda df, *a, **b: df.sparkSession.createDataFrame([], "query long, key long")
-    monkeypatch.setattr(vector, "batch_by_codes", empty)
-    assert Q.QUERIES["knn_binary"](spark, SF).collect() == [(False,)]
     df = Q._vectors(spark, SF)
-    assert {q for q, _ in Q._asked(df)} == {i for i in range(0, df.count(), 100)}
+    asked = {q for q, _ in Q._asked(df)}
+    assert asked == set(range(0, df.count(), 100))
+    for name in ("knn_binary", "knn_scalar", "knn_pq", "knn_cells"):
+        rows = [tuple(r) for r in Q.QUERIES[name](spark, SF).select("query", "nearest", "n_found", "enough").collect()]
+        assert sorted(rows) == [(q, q, 10, True) for q in sorted(asked)], name
+
+    def few(df, field, queries, *a, **b):  # each query's own row, and nothing else
+        return df.sparkSession.createDataFrame([(q, q, 1) for q, _ in queries], "query long, key long, rank int")
+
+    monkeypatch.setattr(vector, "batch_by_codes", few)
+    assert {(r.n_found, r.enough) for r in Q.QUERIES["knn_binary"](spark, SF).collect()} == {(1, False)}
