@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +32,29 @@ def _corpus(df: DataFrame, field: str, analyzer: Analyzer, stems: bool = True) -
     return spread(df.where(text.isNotNull())).withColumn("_tok", analyzer.analyze(text) if stems else analyzer.words(text))
 
 
-def _counted(docs: DataFrame, terms: list[list[str]], hit=None) -> DataFrame:
-    """docs with _len, _tf (one count for each term, given by its forms) and _hit (of the tokens), and the corpus's _n, _avg and _df beside each row.
+def _counted(docs: DataFrame, field: str, terms: list[list[str]], needed, hit=None) -> DataFrame:
+    """docs that may match, with _len, _tf (one count for each term, given by its forms) and _hit (of the tokens), and the corpus's _n, _avg and _df beside each row.
 
-    One row of statistics is joined by a constant, so it is the only thing that is broadcast.
+    Statistics are those of all docs. A token is a part of its text in lower case, so texts without any form of a term (of
+    every term, where ``needed`` is all) are left out unread by a plain search. One row of statistics is joined by a constant,
+    so it is the only thing that is broadcast.
     """
+    spelled = list(dict.fromkeys(w for t in terms for w in t))
+
     def counts(tok: Column) -> Column:
-        count = lambda t: F.size(F.filter(tok, lambda x: x.isin(*t)))
-        return F.struct(F.size(tok).alias("len"), F.array(*[count(t) for t in terms]).alias("tf"), (F.lit(True) if hit is None else hit(tok)).alias("hit"))
+        count = lambda few, t: F.size(F.filter(few, lambda x: x.isin(*t)))
+        # One pass over all tokens; each term is then counted among the few that are some term's.
+        tf = let(F.filter(tok, lambda x: x.isin(*spelled)), lambda few: F.array(*[count(few, t) for t in terms]))
+        return F.struct(F.size(tok).alias("len"), tf.alias("tf"), (F.lit(True) if hit is None else hit(tok)).alias("hit"))
+
+    def count_of(some: DataFrame) -> DataFrame:
+        return some.withColumn("_c", let(F.col("_tok"), counts)).withColumns({"_len": F.col("_c.len"), "_tf": F.col("_c.tf"), "_hit": F.col("_c.hit")}).drop("_tok", "_c")
 
-    rows = docs.withColumn("_c", let(F.col("_tok"), counts)).withColumns({"_len": F.col("_c.len"), "_tf": F.col("_c.tf"), "_hit": F.col("_c.hit")}).drop("_tok", "_c")
     df = [F.count(F.when(F.get("_tf", F.lit(i)) > 0, 1)).cast("double") for i in range(len(terms))]
-    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_avg"), F.array(*df).alias("_df"))
-    one = F.lit(1)
+    stats = count_of(docs).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_avg"), F.array(*df).alias("_df"))
+    low, one = F.lower(text_of(*resolve(docs, field))), F.lit(1)
+    may = needed([reduce(or_, [F.contains(low, F.lit(w)) for w in t]) for t in terms])
+    rows = count_of(docs.where(may))
     stats = stats.withColumn("_avg", F.when(F.col("_avg") > 0, F.col("_avg")).otherwise(1.0)).withColumn("_one", one)
     return rows.withColumn("_is", one).join(F.broadcast(stats), F.col("_is") == F.col("_one")).drop("_is", "_one")
 
@@ -60,6 +73,10 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
+def _any(parts: list[Column]) -> Column:
+    return reduce(or_, parts)
+
+
 _OWN = ("_len", "_tf", "_n", "_avg", "_df", "_hit")
 
 
@@ -70,7 +87,7 @@ def search(df: DataFrame, field: str, query: str, k: int | None, analyzer: Analy
     terms = list(dict.fromkeys(terms_of(df.sparkSession, analyzer, query)))
     if docs is None or not terms:
         return df.withColumn("score", F.lit(0.0)).limit(0)
-    found = _counted(docs, [analyzer.forms(t) for t in terms]).withColumn("score", _score(terms, params)).where("score > 0").drop(*_OWN)
+    found = _counted(docs, field, [analyzer.forms(t) for t in terms], _any).withColumn("score", _score(terms, params)).where("score > 0").drop(*_OWN)
     found = found.orderBy(F.desc("score"), "key")
     return found if k is None else found.limit(k)
 
@@ -85,10 +102,11 @@ def phrase(df: DataFrame, field: str, query: str, k: int | None, analyzer: Analy
     spelled = [analyzer.forms(t) for t in terms]
 
     def hit(tok: Column) -> Column:
+        # Places are only looked at in texts that have the first term at all.
         stands = lambda x, i: F.when(x.isin(*spelled[0]), _all([F.coalesce(F.get(tok, i + j).isin(*w), F.lit(False)) for j, w in enumerate(spelled[1:], 1)])).otherwise(False)
-        return F.exists(F.transform(tok, stands), lambda x: x)
+        return F.when(F.arrays_overlap(tok, F.array(*map(F.lit, spelled[0]))), F.exists(F.transform(tok, stands), lambda x: x)).otherwise(False)
 
-    found = _counted(docs, spelled, hit).where("_hit").withColumn("score", _score(terms, params)).drop(*_OWN)
+    found = _counted(docs, field, spelled, _all, hit).where("_hit").withColumn("score", _score(terms, params)).drop(*_OWN)
     found = found.orderBy(F.desc("score"), "key")
     return found if k is None else found.limit(k)
 
