@@ -14,7 +14,7 @@ from .operators import aggregates, geo, graph, joins, text, vector
 from .operators.order import kept, placed
 from .plans.predicates import Predicate, field, from_json
 from .plans.query import Query, projected
-from .shared import shared_dir
+from .shared import shared_dir, ship
 from .sources.schema import FieldRule, violations
 from .sources.store import Database
 from .streaming.changes import sessions, windowed_counts
@@ -149,10 +149,11 @@ def avg_of(spark, sf_dir):
     return Query(table(spark, sf_dir, "lineitem", "l_orderkey")).avg("l_discount").select(F.round("avg", 6).alias("avg"))
 
 
-@query("SELECT min(o_totalprice) AS min, max(o_orderpriority) AS max FROM orders")
+@query("SELECT 'min' AS what, min(o_totalprice) AS number, NULL::VARCHAR AS text FROM orders UNION ALL SELECT 'max', NULL, max(o_orderpriority) FROM orders")
 def min_max(spark, sf_dir):
     q = Query(table(spark, sf_dir, "orders", "o_orderkey"))
-    return q.min("o_totalprice").crossJoin(q.max("o_orderpriority"))
+    least = q.min("o_totalprice").select(F.lit("min").alias("what"), F.col("min").alias("number"), F.lit(None).cast("string").alias("text"))
+    return least.unionByName(q.max("o_orderpriority").select(F.lit("max").alias("what"), F.lit(None).cast("double").alias("number"), F.col("max").alias("text")))
 
 
 @query("SELECT count(DISTINCT l_partkey) AS count_distinct FROM lineitem")
@@ -490,6 +491,7 @@ def cuckoo_member(spark, sf_dir):
     mine = sketches.CuckooFilter(part.count())
     for r in part.where("p_size <= 25").select("p_partkey").toLocalIterator():
         mine.add(str(r[0]).encode())
+    ship(spark)
 
     @F.pandas_udf("boolean")
     def has(x):
